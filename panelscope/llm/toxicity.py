@@ -255,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         return Model(shift=math.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 1.5)), slope=0.0)
     share = F.when(F.col("toxic") == 1, TOXIC_DOCS / sizes[1]).otherwise(CLEAN_DOCS / sizes[0])
     some = truth.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30) < share)
-    rows = some.join(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL"), "_id").select("toxic", "text")
+    rows = F.broadcast(some).join(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL"), "_id").select("toxic", "text")
     bags = checkpointed(rows.mapInArrow(_bags, "toxic int, words array<string>").distinct())
     drawn = bags.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     base = (drawn["t"] or 0) / max(drawn["n"], 1)
