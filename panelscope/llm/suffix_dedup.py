@@ -77,6 +77,29 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return least[first], first, after
 
 
+def _narrow(h: np.ndarray) -> bytes:
+    """The upper five bytes of hashes. Which anchors are shared may be told too
+    generously, never too sparingly: windows are compared by content afterwards."""
+    return np.ascontiguousarray((h >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _wide(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view(np.uint64).ravel()
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by byte instead of one after another, so that equal bytes stand together."""
+    return pa.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unplaned(data: pa.Buffer, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(np.int64).ravel()
+
+
 def _bytes(text) -> np.ndarray:
     return np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
 
@@ -91,7 +114,7 @@ def _announced(length: int, gram: int, buckets: int):
         h, d, b = h[order], d[order], b[order]
         at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         ends = np.append(at[1:], len(b))
-        return pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([h[s:e].tobytes() for s, e in zip(at, ends)], pa.binary()), pa.array([d[s:e].tobytes() for s, e in zip(at, ends)], pa.binary())], names=["bucket", "hashes", "docs"])
+        return pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([_narrow(h[s:e]) for s, e in zip(at, ends)], pa.binary()), pa.array([_planes(d[s:e]) for s, e in zip(at, ends)], pa.binary())], names=["bucket", "hashes", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, docs, held = [], [], 0
@@ -121,51 +144,53 @@ def _by_doc(docs: np.ndarray, values: np.ndarray, names: list[str]) -> pa.Record
 
 def _shared(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     """Of a bucket's hashes those that occur in several documents, by document."""
-    h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group["hashes"]])
-    d = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["docs"]])
+    parts = [_wide(x.as_buffer()) for x in group["hashes"]]
+    d = np.concatenate([_unplaned(x.as_buffer(), len(y)) for x, y in zip(group["docs"], parts)])
+    h = np.concatenate(parts)
     order = np.argsort(h)
     h, d = h[order], d[order]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.append(at, len(h)))
     low, high = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
     keep = np.repeat(low < high, size)
-    return pa.Table.from_batches([_by_doc(d[keep], h[keep], ["doc_id", "hashes"])])
+    return pa.Table.from_batches([_by_doc(d[keep], np.frombuffer(_narrow(h[keep] << np.uint64(24)), "V5"), ["doc_id", "hashes"])])
 
 
 def _contents(length: int, gram: int, buckets: int):
-    """Blobs of the windows whose anchors are shared: bucket, docs, first windows,
-    numbers of bytes, bytes."""
+    """Blobs of the windows whose anchors are shared: bucket, number, and compressed
+    docs, first windows, numbers of bytes, anchors, bytes."""
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         b, d, p, n = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        text = np.concatenate([r[4] for r in rows])
+        text, anchor = np.concatenate([r[4] for r in rows]), np.concatenate([r[5] for r in rows])
         start = np.cumsum(n) - n
         order = np.argsort(b, kind="stable")
         b = b[order]
         at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[] for _ in range(7)]
         for s, e in zip(at, np.append(at[1:], len(b))):
             own = order[s:e]
             size = n[own]
             take = np.repeat(start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            for col, v in zip(cols, (int(b[s]), d[own].tobytes(), p[own].astype(np.int32).tobytes(), size.astype(np.int32).tobytes(), text[take].tobytes())):
+            for col, v in zip(cols, (int(b[s]), len(own), _planes(d[own]), _planes(p[own]), _planes(size), _narrow(anchor[own]), pa.compress(text[take].tobytes(), codec="zstd", asbytes=True))):
                 col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "docs", "firsts", "sizes", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["bucket", "n", "docs", "firsts", "sizes", "anchors", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
             for doc, text, blobs in zip(batch.column(0), batch.column(1), batch.column(2)):
+                if not blobs.is_valid or not text.is_valid:
+                    continue
                 data = _bytes(text)
                 h, first, after = anchors(data, length, gram)
-                wanted = np.frombuffer(b"".join(blobs.as_py()), np.uint64)
-                hit = np.isin(h, wanted)
+                hit = np.isin(h >> np.uint64(24), _wide(b"".join(blobs.as_py())))
                 h, first, after = h[hit], first[hit], after[hit]
                 if not len(h):
                     continue
                 size = after - first + length - 1
                 take = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                rows.append(((h % np.uint64(buckets)).astype(np.int32), np.full(len(h), doc.as_py(), np.int64), first, size, data[take]))
+                rows.append(((h % np.uint64(buckets)).astype(np.int32), np.full(len(h), doc.as_py(), np.int64), first, size, data[take], h))
                 held += size.sum()
                 if held > BLOCK:
                     yield pack(rows)
@@ -189,7 +214,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.concatenate([[True], key[sa[1:]] != key[sa[:-1]]])
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)
@@ -205,7 +230,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             break
         own = sa[at]
         follow = rank[np.minimum(own + h, n)]
-        order = np.lexsort((follow, group[at]))
+        order = np.argsort(group[at] * (n + 2) + follow + 1)
         sa[at] = own[order]
         g, f = group[at][order], follow[order]
         fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (f[1:] != f[:-1])])
@@ -310,8 +335,11 @@ def least_owners(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owner:
 def _compared(length: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         """Spans to remove of a bucket's documents."""
-        docs, firsts, sizes = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group[c]]).astype(np.int64) for c, t in (("docs", np.int64), ("firsts", np.int32), ("sizes", np.int32)))
-        text = b"".join(x.as_buffer().to_pybytes() for x in group["bytes"])
+        many = group["n"].to_pylist()
+        docs, firsts, sizes = (np.concatenate([_unplaned(x.as_buffer(), n) for x, n in zip(group[c], many)]) for c in ("docs", "firsts", "sizes"))
+        anchor = np.concatenate([_wide(x.as_buffer()) for x in group["anchors"]])
+        ends = np.cumsum(many)
+        text = b"".join(pa.decompress(x.as_buffer(), int(sizes[e - n : e].sum()), codec="zstd", asbytes=True) for x, n, e in zip(group["bytes"], many, ends))
         at = np.cumsum(sizes) - sizes
         # Equal contents are compared once, for the smallest of their documents.
         number: dict[bytes, int] = {}
@@ -320,7 +348,19 @@ def _compared(length: int):
         own = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(own, kind, docs)
         size = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        least = least_owners(np.frombuffer(b"".join(distinct), np.uint8), np.cumsum(size) - size, size, own, length)
+        least = np.repeat(own, size - length + 1)
+        # Windows can only equal windows of the same anchor, so a content that is its anchor's only one needs no array.
+        of = np.zeros(len(distinct), np.uint64)
+        of[kind] = anchor
+        order = np.argsort(of)
+        head = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
+        several = np.repeat(np.diff(np.append(head, len(of))) > 1, np.diff(np.append(head, len(of))))
+        some = order[several]
+        if len(some):
+            part = size[some]
+            found = least_owners(np.frombuffer(b"".join([distinct[i] for i in some]), np.uint8), np.cumsum(part) - part, part, own[some], length)
+            n, to = part - length + 1, np.cumsum(size - length + 1) - (size - length + 1)
+            least[np.repeat(to[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = found
         n_win = size - length + 1
         base = np.cumsum(n_win) - n_win
         out_d, out_s, out_e = [], [], []
@@ -390,7 +430,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = told.groupBy("bucket").applyInArrow(_shared, "doc_id long, hashes binary")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
     dealt = rows.repartition(partitions(docs.sparkSession), "doc_id")
-    contents = dealt.join(wanted, "doc_id").mapInArrow(_contents(length, gram, buckets), "bucket int, docs binary, firsts binary, sizes binary, bytes binary")
+    # Both joins are outer so that they read one and the same exchange of the texts.
+    contents = dealt.join(wanted, "doc_id", "left").mapInArrow(_contents(length, gram, buckets), "bucket int, n long, docs binary, firsts binary, sizes binary, anchors binary, bytes binary")
     spans = contents.groupBy("bucket").applyInArrow(_compared(length), "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     return dealt.join(spans, "doc_id", "left").mapInArrow(_cleaned, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
