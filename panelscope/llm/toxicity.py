@@ -340,10 +340,9 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that aren't predicted toxic, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = docs.columns.index(text_col)
         for batch in batches:
             two = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["doc_id", "text"])
             mask = [s < 0.5 for b in _scored(shared)(iter([two])) for s in b.column(1).to_pylist()]
