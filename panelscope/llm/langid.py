@@ -51,7 +51,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for g in grams(w, n):
                         sums[n][g] += c
             for n, got in ((0, count), *sums.items()):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array([n] * len(got), pa.int32()), pa.array(list(got)), pa.array(list(got.values()), pa.int64())], names=["lang", "size", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array([n] * len(got), pa.int32()), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["lang", "size", "gram", "n"])
 
 
 class Model:

@@ -100,10 +100,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixed rows themselves: each document as often as the mix takes it,
     so not at all, once or repeatedly, with its own columns."""
-    chosen = mix(docs, id_col, text_col, **options).filter("times > 0").select(F.col("doc_id").alias("_id"), "h", "times").distinct()
+    chosen = mix(docs, id_col, text_col, **options).filter("times > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("times").alias("_times")).distinct()
     hashed = F.shiftrightunsigned(F.xxhash64(docs[id_col], docs[text_col]), 2)
-    joined = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id")) & (hashed == F.col("h")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id")) & (hashed == F.col("_h")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
