@@ -113,8 +113,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     frame = counts.join(known, ["size", "gram"], "left_semi").toPandas()
     for lang, n, gram, c in zip(frame["lang"], frame["size"], frame["gram"], frame["n"]):
         i = index[lang]
-        v = tables[n].setdefault(gram, floor[n].copy())
-        v[i] += math.log((c + 0.5) / 0.5)
+        # Where a language lacks it, all languages have the same floor, or the smallest would be the likeliest.
+        v = tables[n].setdefault(gram, np.full(len(langs), floor[n].min()))
+        v[i] = floor[n][i] + math.log((c + 0.5) / 0.5)
     return Model(langs, [sizes[lang] for lang in langs], tables)
 
 
