@@ -60,7 +60,13 @@ class Model:
     def __init__(self, langs: list[str], docs: list[int], tables: dict[int, dict[str, np.ndarray]]):
         self.langs, self.tables = langs, tables
         self.prior = np.log(np.array(docs, float) / sum(docs)) if docs else np.zeros(0)
-        self.memo: dict[str, np.ndarray | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Rows of `self.seen` by word; row 0 is zero, for words that tell nothing."""
+        self.row: dict[str, int] = {}
+        self.seen = np.zeros((1024, len(self.langs)))
+        self.used = 1
 
     def unseen(self, word: str) -> np.ndarray | None:
         for n in GRAM_SIZES:
@@ -71,22 +77,29 @@ class Model:
 
     def score(self, word: str) -> np.ndarray | None:
         v = self.tables[0].get(word)
-        if v is not None:
-            return v
-        if word not in self.memo:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = self.unseen(word)
-        return self.memo[word]
+        return self.unseen(word) if v is None else v
+
+    def number(self, word: str) -> int:
+        v = self.score(word)
+        if v is None:
+            self.row[word] = 0
+            return 0
+        if self.used == len(self.seen):
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+        self.seen[self.used] = v
+        self.row[word] = self.used
+        self.used += 1
+        return self.used - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
         count = Counter(words(text or ""))
         if not count or not self.langs:
             return "und", 0.0
-        total = self.prior.copy()
-        for w, c in count.items():
-            if (v := self.score(w)) is not None:
-                total += c * v
+        if len(self.row) >= MEMO:
+            self.forget()
+        row = self.row
+        at = [row[w] if w in row else self.number(w) for w in count]
+        total = self.prior + np.fromiter(count.values(), np.float64, len(count)) @ self.seen[at]
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 

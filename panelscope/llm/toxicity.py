@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +31,37 @@ POSITIVES, NEGATIVES, LANDMARKS, ROUNDS = 1500, 4000, 160, 3
 #: Entries of a worker's memory of word scores, which is emptied when full.
 MEMO = 300_000
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+GAPS = re.compile(r"[\s.\-_*]+")
+SPELLED = re.compile(r"(?:(?<=\s)|^)\w(?:[\s.\-_*]+\w(?!\w)){2,}")
+#: Words decided together; each length of word costs a fixed time per call.
+AT_ONCE = 50_000
 NOTHING = -1.5
 
 
-def instances(text: str) -> set[str]:
-    """Distinct words in lower case, without punctuation at their ends, between
-    boundary marks; runs of single characters are also joined."""
-    out, run = set(), []
-    for w in {*text.lower().split()}:
+def word_instances(w: str) -> list[str]:
+    """Instances of one lower-case token: without punctuation at its ends, between boundary marks."""
+    if not w.isalnum():
         w = EDGE.sub("", w)
-        if len(w) > WINDOW:
-            out.update(w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2))
-        elif len(w) > 1:
-            out.add(f"^{w}$")
-    for w in re.findall(r"(?:(?<=\s)|^)\w(?:[\s.\-_*]+\w(?!\w)){2,}", text.lower()):
-        run = re.sub(r"[\s.\-_*]+", "", w)
-        out.update(f"^{run[i : i + WINDOW]}$" for i in range(0, max(1, len(run) - WINDOW // 2), WINDOW // 2))
+    if len(w) > WINDOW:
+        return [w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
+    return [f"^{w}$"] if len(w) > 1 else []
+
+
+def spelled(low: str) -> list[str]:
+    """Instances of runs of single characters, joined."""
+    out = []
+    for w in SPELLED.findall(low):
+        run = GAPS.sub("", w)
+        out += [f"^{run[i : i + WINDOW]}$" for i in range(0, max(1, len(run) - WINDOW // 2), WINDOW // 2)]
     return out
 
 
+def instances(text: str) -> set[str]:
+    """Distinct instances of a text's words and spelled-out runs."""
+    low = text.lower()
+    return {x for w in {*low.split()} for x in word_instances(w)} | {*spelled(low)}
+
+
 def codes(strings: list[str]) -> np.ndarray:
     """Code points of strings of equal length."""
     n = len(strings[0])
@@ -91,6 +104,11 @@ def by_length(strings: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
             yield own[at : at + 2000], codes([strings[i] for i in own[at : at + 2000]])
 
 
+def least_norm(size: int) -> float:
+    """No instance of `size` characters has a smaller norm: that of one without a repeated subsequence."""
+    return math.sqrt(max(sum((size - s) * (s - 1) * DECAY ** (2 * s + 2) for s in range(ORDER - 1, size)), 1e-12))
+
+
 def norms(strings: list[str]) -> np.ndarray:
     out = np.ones(len(strings))
     for own, c in by_length(strings):
@@ -139,25 +157,31 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def decide(self, strings: list[str]) -> np.ndarray:
-        """Decision value of each instance: sum over its subsequences' weights,
-        divided by its norm."""
-        out = np.full(len(strings), self.bias)
+    def raw(self, strings: list[str]) -> np.ndarray:
+        """Sum over each instance's weighted subsequences, before its norm."""
+        out = np.zeros(len(strings))
         flat, n = self.weights.ravel(), len(self.weights)
         for own, c in by_length(strings):
-            length = c.shape[1]
-            if length < ORDER or n == 1:
+            if c.shape[1] < ORDER or n == 1:
                 continue
-            k = _triple_codes(c, self.letters)
-            total = np.zeros(len(c))
-            for i, j, x, w in triples(length):
-                total += w * flat[(k[:, i] * n + k[:, j]) * n + k[:, x]]
-            live = np.flatnonzero(total > 0)  # only these can exceed the bias; the rest need no norm
-            if len(live):
-                total[live] /= np.sqrt(np.maximum(self_kernel(c[live]), 1e-12))
-            out[own] = np.where(total > 0, total, 0) + self.bias
+            k = np.ascontiguousarray(_triple_codes(c, self.letters).T)
+            first, second, total = k * (n * n), k * n, np.zeros(len(c))
+            for i, x in combinations(range(c.shape[1]), 2):
+                if x - i > 1:
+                    ends = first[i] + k[x]
+                    total += DECAY ** (x - i + 1) * sum(flat[ends + second[j]] for j in range(i + 1, x))
+            out[own] = total
         return out
 
+    def decide(self, strings: list[str]) -> np.ndarray:
+        """Decision value of each instance: sum over its subsequences' weights,
+        divided by its norm."""
+        out = self.raw(strings)
+        live = np.flatnonzero(out > 0)  # only these can exceed the bias; the rest need no norm
+        if len(live):
+            out[live] /= norms([strings[i] for i in live])
+        return np.maximum(out, 0) + self.bias
+
     def probability(self, worst: float) -> float:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * worst + self.shift))))
 
@@ -227,8 +251,8 @@ def _worst(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 bags = part.column(1).to_pylist()
                 flat = list({w for b in bags for w in b})
                 value = dict(zip(flat, shared.value.decide(flat).tolist()))
@@ -301,20 +325,81 @@ def calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return 5.0, -5.0 * middle
 
 
+class _Memory:
+    """Numbers of the instances met so far, with their decision values. An instance
+    has an upper bound until it may be a document's worst; then its norm is taken."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.least = np.array([least_norm(n) for n in range(WINDOW + 3)])
+        self.clear()
+
+    def clear(self) -> None:
+        self.tokens: dict[str, int] = {}  # -1: no instance, or several
+        self.several: dict[str, list[int]] = {}
+        self.number: dict[str, int] = {}
+        self.strings: list[str] = []
+        self.value, self.exact = np.zeros(0), np.zeros(0, bool)
+
+    def numbers(self, text: str) -> np.ndarray:
+        low = text.lower()
+        words = {*low.split()}
+        for w in words - self.tokens.keys():
+            own = [self._number(x) for x in word_instances(w)]
+            self.tokens[w] = own[0] if len(own) == 1 else -1
+            if len(own) > 1:
+                self.several[w] = own
+        out = np.fromiter(map(self.tokens.__getitem__, words), np.int32, len(words))
+        more = [n for w in words & self.several.keys() for n in self.several[w]] + [self._number(x) for x in spelled(low)]
+        return np.concatenate([out[out >= 0], np.array(more, np.int32)])
+
+    def _number(self, x: str) -> int:
+        n = self.number.setdefault(x, len(self.strings))
+        if n == len(self.strings):
+            self.strings.append(x)
+        return n
+
+    def waiting(self) -> int:
+        return len(self.strings) - len(self.value)
+
+    def _settle(self, some: np.ndarray) -> None:
+        some = np.unique(some[~self.exact[some]])
+        if len(some):
+            self.value[some] = self.model.decide([self.strings[i] for i in some])
+            self.exact[some] = True
+
+    def worst(self, bags: list[np.ndarray]) -> list[float]:
+        if self.waiting():
+            new = self.strings[len(self.value) :]
+            raw = self.model.raw(new)
+            bound = np.maximum(raw, 0) * (1 + 1e-9) / self.least[[len(x) for x in new]] + self.model.bias
+            self.value, self.exact = np.append(self.value, bound), np.append(self.exact, raw <= 0)
+        out = np.full(len(bags), NOTHING)
+        full = [i for i, b in enumerate(bags) if len(b)]
+        if full:
+            flat, size = np.concatenate(bags), [len(bags[i]) for i in full]
+            start = np.cumsum([0, *size[:-1]])
+            self._settle(flat[self.value[flat] == np.repeat(np.maximum.reduceat(self.value[flat], start), size)])
+            known = np.maximum.reduceat(np.where(self.exact[flat], self.value[flat], -np.inf), start)
+            self._settle(flat[self.value[flat] > np.repeat(known, size)])
+            out[full] = np.maximum.reduceat(np.where(self.exact[flat], self.value[flat], -np.inf), start)
+        return out.tolist()
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = shared.value, {}
+        memory = _Memory(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                bags = [instances(t or "") for t in part.column(1).to_pylist()]
-                new = list({w for b in bags for w in b if w not in memo})
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = list({w for b in bags for w in b})
-                memo.update(zip(new, model.decide(new).tolist()))
-                score = [model.probability(max(map(memo.__getitem__, b), default=NOTHING)) for b in bags]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
+            score, bags = [], []
+            for text in batch.column(1):
+                bags.append(memory.numbers(text.as_py() or ""))
+                if memory.waiting() >= AT_ONCE:
+                    score += map(memory.model.probability, memory.worst(bags))
+                    bags = []
+                    if max(len(memory.strings), len(memory.tokens)) > MEMO:
+                        memory.clear()
+            score += map(memory.model.probability, memory.worst(bags))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     return run
 
