@@ -344,13 +344,13 @@ class _Memory:
     def numbers(self, text: str) -> np.ndarray:
         low = text.lower()
         words = {*low.split()}
-        for w in words - self.tokens.keys():
+        for w in [w for w in words if w not in self.tokens]:
             own = [self._number(x) for x in word_instances(w)]
             self.tokens[w] = own[0] if len(own) == 1 else -1
             if len(own) > 1:
                 self.several[w] = own
         out = np.fromiter(map(self.tokens.__getitem__, words), np.int32, len(words))
-        more = [n for w in words & self.several.keys() for n in self.several[w]] + [self._number(x) for x in spelled(low)]
+        more = [n for w in words if w in self.several for n in self.several[w]] + [self._number(x) for x in spelled(low)]
         return np.concatenate([out[out >= 0], np.array(more, np.int32)])
 
     def _number(self, x: str) -> int:
