@@ -58,7 +58,7 @@ def test_simhash_links_equal_brute_force(spark, distance):
     near = [int(b) ^ sum(1 << int(x) for x in rng.choice(62, k, replace=False)) for b in base for k in (2, 4, 6, 9)]
     fps = sorted({*base.tolist(), *near})
     nodes = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "node long, f0 long")
-    roots = {r["node"]: r["root"] for r in components.components(simhash.link_fingerprints(nodes, 1, distance)).collect()}
+    roots = {r["node"]: r["root"] for r in components.components(simhash.link_fingerprints(nodes, simhash.search_plans(nodes, 1, distance), distance)).collect()}
     up = list(range(len(fps)))
 
     def find(i):
@@ -91,6 +91,39 @@ def test_near_duplicates_of_odd_rows(docs):
     assert got[2] == 1 and got[4] == 3 and got[6] == 5
 
 
+def test_similar_groups_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = ["", "  ", "one two", "one  TWO", "x " * 40, "x " * 41 + "y"]
+    for _ in range(30):
+        words = rng.integers(0, 500, int(rng.integers(60, 400))).tolist()
+        texts.append(" ".join(f"w{w}" for w in words))
+        for edits in (1, 2, 4, 6, 10):
+            new = [*words]
+            for at in rng.integers(0, len(new), edits):
+                new[at] = int(rng.integers(500, 900))
+            texts.append(" ".join(f"w{w}" for w in new))
+    sets = [{*simhash.shingles(t.encode(), 5)} for t in texts]
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    rows = spark.createDataFrame([*enumerate(texts), (None, "one two")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()}
+    assert got.pop(None) == 2
+    assert got == {i: find(i) for i in range(len(texts))}
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(rows).collect()}
+    assert kept == {find(i) for i in range(len(texts))} | {None}
+    assert simhash.similar_groups(rows.limit(0)).count() == 0
+
+
 def test_chat_layouts_and_round_trip(spark):
     rows = [(1, "a", "b", None, None), (2, None, None, "do", "done"), (3, None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, prompt string, response string, instruction string, output string")
