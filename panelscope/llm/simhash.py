@@ -10,12 +10,13 @@ estimated from a sample; the estimate steers the cost only, never the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,12 @@ SAMPLE = 2000
 DENSE = 256
 #: Relative costs of sending one probe and of comparing one candidate.
 PROBE_COST, CANDIDATE_COST = 300.0, 1.0
+#: Texts from which common shingles are learned, and in how many a common one occurs.
+COMMON_SAMPLE, COMMON = 8000, 3
+#: Most common shingles sent to all workers.
+COMMON_MOST = 200_000
+#: Pairs compared at once; each takes over 100 bytes.
+PAIRS = 200_000
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -55,9 +62,14 @@ def fingerprint(text: bytes, words: int = 4, halves: int = 1, repeats: bool = Tr
     """Unsigned 64-bit fingerprints: the first of the shingles' XXH64, each further
     one of these hashes mixed anew; of distinct shingles only, without `repeats`."""
     own = shingles(text, words)
-    if not own:
-        return [0] * halves
-    hashed = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in (own if repeats else {*own})), np.uint64)
+    return _bits(_hashes(own if repeats else {*own}), halves)
+
+
+def _hashes(own: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in own), np.uint64)
+
+
+def _bits(hashed: np.ndarray, halves: int) -> list[int]:
     n, out = len(hashed), []
     for half in range(halves):
         h = _mix(hashed + np.uint64(half * 0x9E3779B97F4A7C15 % 2**64)) if half else hashed
@@ -361,44 +373,192 @@ def _similar(words: int, similarity: float):
 def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """The links a, b between texts whose sets of shingles have the Jaccard
     similarity asked for. Ids that several rows share stand for all their texts."""
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    ids = ends.select(F.explode(F.array("a", "b")).alias("_id")).distinct().toPandas()["_id"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(ids))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), shared.value
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            yield batch.filter(pa.array(known[at] == own)) if len(known) else batch.slice(0, 0)
+
+    # Only texts that have a link are dealt out.
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(linked, "_id long, text string")
     one = ends.join(texts, F.col("b") == F.col("_id")).select("a", "b", F.col("text").alias("x"))
     both = one.join(texts, F.col("a") == F.col("_id")).select("a", "b", "x", F.col("text").alias("y"))
     return both.mapInArrow(_similar(words, similarity), "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 39, radius: int = 7, halves: int = 3) -> DataFrame:
+def common_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that occur in many texts of a sample, ascending, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes({*shingles((t or "").encode(), words)}).view(np.int64))], names=["h"])
+
+    some = docs.select(F.col(text_col).alias("text")).limit(COMMON_SAMPLE).repartition(partitions(docs.sparkSession))
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON)
+    got = counts.orderBy(F.desc("count"), "h").limit(COMMON_MOST).toPandas()
+    h, n = got["h"].to_numpy(np.int64).view(np.uint64), got["count"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(hashed: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a set's distinct hashes in one order of all hashes, common ones
+    last: so many that two sets of the similarity asked for share one of them."""
+    known, many = common
+    rank = np.zeros(len(hashed), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
+        rank = np.where(known[at] == hashed, many[at], 0)
+    order = np.lexsort((hashed, rank))
+    return hashed[order[: len(hashed) - ceil(similarity * len(hashed) - 1e-9) + 1]]
+
+
+def _sets(shared, words: int, halves: int, similarity: float):
+    """Signature, size, fingerprints and prefix of each text's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [np.unique(_hashes({*shingles((t or "").encode(), words)})) for t in part.column(1).to_pylist()]
+                bits = np.array([_bits(h, halves) for h in own], np.uint64).reshape(-1, halves)
+                cols = [pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in own], pa.uint64()).view(pa.int64()), pa.array(list(map(len, own)), pa.int64())]
+                cols += [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(halves)]
+                cols.append(pa.array([prefix(h, shared.value, similarity).view(np.int64) for h in own], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "signature", "size", *(f"f{i}" for i in range(halves)), "prefix"])
+
+    return run
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash of a prefix."""
+    for batch in batches:
+        lists = batch.column(1)
+        yield pa.RecordBatch.from_arrays([lists.flatten(), batch.column(0).take(pc.list_parent_indices(lists))], names=["key", "signature"])
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct rows whose key another signature has too."""
+    if batches := list(batches):
+        got = pa.Table.from_batches(batches)
+        key, own = got["key"].to_numpy(), got["signature"].to_numpy()
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])[: len(key)]
+        key, own = key[new], own[new]
+        same = key[1:] == key[:-1]
+        met = np.concatenate([[False], same])[: len(key)] | np.concatenate([same, [False]])[: len(key)]
+        yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(own[met])], names=["key", "signature"])
+
+
+def _by_key(batches: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Rows by key and node; first row and size of each row's key."""
+    got = pa.Table.from_batches(batches)
+    got = got.take(np.lexsort((got["node"].to_numpy(), got["key"].to_numpy())))
+    key = got["key"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    sizes = np.diff(np.append(starts, len(key)))
+    return got, np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+
+def _compared(batches: list[pa.RecordBatch], halves: int, similarity: float, distance: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of rows i, j of a key and of different parts that may be similar,
+    ordered by i, then j, and their differing bits."""
+    got, start, size = _by_key(batches)
+    if not len(size):
+        return
+    fp = np.stack([got[f"f{i}"].to_numpy().view(np.uint64) for i in range(halves)], axis=1)
+    large, part = got["size"].to_numpy(), got["part"].to_numpy()
+    done = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] - size[lo] + PAIRS, "right")))
+        i = np.repeat(np.arange(lo, hi), size[lo:hi])
+        j = np.arange(len(i)) - np.repeat(done[lo:hi] - size[lo:hi] - (done[lo] - size[lo]), size[lo:hi]) + start[i]
+        ok = (part[i] != part[j]) & (np.minimum(large[i], large[j]) >= similarity * np.maximum(large[i], large[j]) - 1e-9)
+        i, j = i[ok], j[ok]
+        d = _distance(fp[i], fp[j])
+        ok = d <= distance
+        yield got, i[ok], j[ok], d[ok]
+        lo = hi
+
+
+def _nearest(halves: int, similarity: float, distance: int):
+    """Each row's nearest row by differing bits, and its first, among those of its key
+    that are of other parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if batches := list(batches):
+            for got, i, j, d in _compared(batches, halves, similarity, distance):
+                if len(i):
+                    node = got["node"].to_numpy()
+                    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                    best = np.minimum.reduceat((d << 40) + j, first)
+                    cols = [node[i[first]], best >> 40, node[best & (1 << 40) - 1], node[j[first]]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["node", "d", "near", "least"])
+
+    return run
+
+
+def _apart(halves: int, similarity: float, distance: int):
+    """All pairs of different parts that share a key and may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if batches := list(batches):
+            for got, i, j, _ in _compared(batches, halves, similarity, distance):
+                node = got["node"].to_numpy()
+                ok = node[i] > node[j]
+                pairs = np.unique(np.stack([node[i[ok]], node[j[ok]]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 64, halves: int = 3) -> DataFrame:
     """doc_id, component_id: the smallest id reachable over links between texts of
     at least that similarity between their sets of shingles.
 
-    Fingerprints of distinct shingles propose links, whole texts verify them. A
-    similarity of 0.8 is a cosine of 0.89, hence 28 of 192 differing bits on
-    average with a deviation of five; 39 take in 99 % of such pairs. The links
-    first verified only connect what the search found. Where some of them fail,
-    all links found between the parts that they leave are verified too, so none
-    is lost to the choice of links. Texts whose 192 bits agree count as similar.
+    Two such sets share a hash among their prefixes, so all pairs meet; the
+    fingerprints of those that meet are compared and whole texts verify the links.
+    A similarity of 0.8 is 29 of 192 differing bits on average (up to 37 for the
+    smallest sets) with a deviation of about five, so a pair is lost at 64 in less
+    than one case of a million. Each text is first verified against the nearest
+    and the first that it meets in other parts, until that links no more; then all
+    pairs between the parts left are, so none is lost to the choice of links. Equal sets are one node.
     Null ids, and rows that share an id, are as in `near_duplicates`.
     """
+    spark = docs.sparkSession
     keys = [f"f{i}" for i in range(halves)]
-    rows = checkpointed(fingerprints(docs, id_col, text_col, words, halves, repeats=False))
-    nodes = checkpointed(rows.groupBy(*keys).agg(F.min("doc_id").alias("node")).select("node", *keys))
-    known = nodes.filter("node IS NOT NULL")
-    plans = search_plans(known, halves, radius)
-    found = checkpointed(link_fingerprints(known, plans, distance).distinct())
-    good = checkpointed(verified(found, docs, id_col, text_col, words, similarity))
-    if found.count() > good.count():
-        reach = components(found).select("node", F.col("root").alias("reach"))
-        parts = known.join(reach, "node").join(components(good), "node", "left").withColumn("part", F.coalesce("root", "node"))
-        parts = checkpointed(parts.select("node", *keys, "reach", "part"))
-        split = parts.groupBy("reach").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("reach")
-        more = link_fingerprints(parts.join(split, "reach", "left_semi"), plans, distance)
-        good = good.unionByName(verified(more, docs, id_col, text_col, words, similarity))
-    named = nodes.join(components(good), "node", "left").select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("root", "node").alias("component_id"))
-    on = F.lit(True)
-    for k in keys:
-        on = on & (rows[k] == F.col(f"_{k}"))
-    return rows.join(named, on).select("doc_id", "component_id")
+    bits = ", ".join(f"{k} long" for k in keys)
+    common = spark.sparkContext.broadcast(common_shingles(docs, text_col, words))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = checkpointed(texts.mapInArrow(_sets(common, words, halves, similarity), f"doc_id long, signature long, size long, {bits}, prefix array<long>"))
+    sets = checkpointed(rows.groupBy("signature").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in ("size", *keys)]))
+    keyed = rows.select("signature", "prefix").mapInArrow(_keyed, "key long, signature long")
+    shared = keyed.repartition(partitions(spark), "key").mapInArrow(_shared_keys, keyed.schema)
+    met = checkpointed(shared.join(sets.filter("node IS NOT NULL"), "signature").select("key", "node", "size", *keys))
+    parts, none = met.withColumn("part", F.col("node")), spark.createDataFrame([], "a long, b long")
+    found = good = none
+    ends = F.explode(F.array(F.col("n.near"), F.col("least"))).alias("b")
+    while True:
+        nearest = parts.repartition(partitions(spark), "key").mapInArrow(_nearest(halves, similarity, distance), "node long, d long, near long, least long")
+        nearest = nearest.groupBy("node").agg(F.min(F.struct("d", "near")).alias("n"), F.min("least").alias("least"))
+        pairs = nearest.select(F.col("node").alias("a"), ends).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        new = checkpointed(pairs.join(found, ["a", "b"], "left_anti"))
+        more = checkpointed(verified(new, docs, id_col, text_col, words, similarity))
+        found, good = found.unionByName(new), good.unionByName(more)
+        if more.isEmpty():
+            break
+        parts = checkpointed(met.join(components(good), "node", "left").select("key", "node", "size", *keys, F.coalesce("root", "node").alias("part")))
+    rest = parts.repartition(partitions(spark), "key").mapInArrow(_apart(halves, similarity, distance), "a long, b long").distinct().join(found, ["a", "b"], "left_anti")
+    good = good.unionByName(verified(checkpointed(rest), docs, id_col, text_col, words, similarity))
+    named = sets.join(components(good), "node", "left").select(F.col("signature").alias("_signature"), F.coalesce("root", "node").alias("component_id"))
+    return rows.join(named, rows["signature"] == F.col("_signature")).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

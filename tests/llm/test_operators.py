@@ -124,6 +124,25 @@ def test_similar_groups_equal_brute_force(spark):
     assert simhash.similar_groups(rows.limit(0)).count() == 0
 
 
+def test_similar_pairs_are_found_near_the_threshold(spark, monkeypatch):
+    plan = simhash.plan_search  # a search by bits, if any, is planned as for a large table
+    monkeypatch.setattr(simhash, "plan_search", lambda sample, n, distance: plan(sample, 12_000_000, distance))
+    rng = np.random.default_rng(21)
+    texts, close = [], []
+    while len(close) < 200:
+        words = [f"w{w}" for w in rng.integers(0, 10**6, 300)]
+        new = [*words]
+        for at in rng.choice(300, 6 + len(close) % 2, replace=False):
+            new[at] = "x" + new[at]
+        one, two = ({*simhash.shingles(" ".join(t).encode(), 5)} for t in (words, new))
+        if 0.8 <= len(one & two) / len(one | two) < 0.82:
+            close.append(len(texts))
+            texts += [" ".join(words), " ".join(new)]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_chat_layouts_and_round_trip(spark):
     rows = [(1, "a", "b", None, None), (2, None, None, "do", "done"), (3, None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, prompt string, response string, instruction string, output string")
