@@ -17,7 +17,8 @@ from .common import table
 CHUNK = 1 << 16
 #: A match holds white space only at its start, or nothing but white space, so
 #: it ends wherever white space follows something else, whatever stands around.
-SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: U+001C to U+001F are white space for Python, but not for the pattern.
+SAFE = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 
 
 def read_ranks(path: str) -> bytes:

@@ -51,6 +51,17 @@ def test_byte_bpe(docs):
     assert byte_bpe.encode(enc, text, 7) == enc.encode_ordinary(text)
 
 
+def test_byte_bpe_cuts_at_the_white_space_of_the_pattern():
+    import base64
+
+    import public_tokenizers as public
+
+    ranks = [bytes([i]) for i in range(256)] + [b"!\x1c"]
+    enc = byte_bpe.make_encoder(b"\n".join(base64.b64encode(r) + b" %d" % i for i, r in enumerate(ranks)), public.PATTERN)
+    for text in ("!\x1c", "a!\x1c b", "!\x1c!\x1c \x1c!\x85!\xa0x"):
+        assert byte_bpe.encode(enc, text, 1) == enc.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("distance", [4, 9])
 def test_simhash_links_equal_brute_force(spark, distance):
     rng = np.random.default_rng(3)
