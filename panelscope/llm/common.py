@@ -15,15 +15,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, partitioned: bool = False) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it back, so that
     lineage is cut and lost executors cost nothing. A folder of our own is set
-    only where the session names none."""
-    sc = df.sparkSession.sparkContext
+    only on a single machine; elsewhere executors could not read it. A frame
+    `partitioned` by a key stays known as such, so that later joins by the key
+    don't deal it out again; the plan is then fixed before it runs."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint(eager=True)
+    if not partitioned:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
 
 
 def fold(doc_id: Column | str, n: int) -> Column:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, table
+from .common import checkpointed, partitions, table, unused
 from .components import components
 
 SEED = 42
@@ -37,6 +37,10 @@ COMMON_SAMPLE, COMMON = 8000, 3
 COMMON_MOST = 200_000
 #: Pairs compared at once; each takes over 100 bytes.
 PAIRS = 200_000
+#: Of the search for similar texts: bits of the pigeonhole search, rounds by single hashes, and pivots in each.
+RADIUS, TURNS, PIVOTS = 4, 3, 8
+#: A hash that so many texts have makes them a crowd; crowds are compared in blocks of about BLOCK texts.
+CROWD, BLOCK, NO_CROWD = 64, 128, 0
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -275,35 +279,6 @@ def _linked(halves: int, distance: int):
     return run
 
 
-def _pairs(halves: int, distance: int):
-    """All links between rows of different `part` that share a key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if got is None or not got.num_rows:
-            return
-        key, probe, node, part = (got[c].to_numpy() for c in ("key", "probe", "node", "part"))
-        fp = np.stack([got[f"f{i}"].to_numpy().view(np.uint64) for i in range(halves)], axis=1)
-        order = np.lexsort((probe, key))
-        key, probe, node, part, fp = key[order], probe[order], node[order], part[order], fp[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.append(starts[1:], len(key))
-        firsts = starts + (ends - starts) - np.add.reduceat(probe.astype(np.int64), starts)
-        for start, first, end in zip(starts.tolist(), firsts.tolist(), ends.tolist()):
-            if first == start or first == end or (part[start:end] == part[start]).all():
-                continue
-            step = max(1, 2_000_000 // (first - start))
-            for at in range(first, end, step):
-                p, i = np.nonzero(part[at : min(at + step, end), None] != part[None, start:first])
-                p, i = p + at, i + start
-                hit = _distance(fp[p], fp[i]) <= distance
-                if hit.any():
-                    x, y = node[p[hit]], node[i[hit]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
-
-    return run
-
-
 def search_plans(nodes: DataFrame, halves: int, radius: int) -> list[tuple[list[list[int]], list[int]]]:
     """Partitions and thresholds for each 64-bit part of the fingerprints."""
     n, sample = nodes.count(), nodes.limit(SAMPLE).toPandas()
@@ -312,20 +287,18 @@ def search_plans(nodes: DataFrame, halves: int, radius: int) -> list[tuple[list[
 
 def link_fingerprints(nodes: DataFrame, plans: list, distance: int = 4) -> DataFrame:
     """a, b: links among rows (node, f0, ...) whose fingerprints differ in at most
-    `distance` bits in all, enough of them to connect all that are linked. Rows
-    that also have a `part` give every link between different parts instead.
+    `distance` bits in all, enough of them to connect all that are linked.
 
     With plans for a radius of `distance` divided by the number of 64-bit parts,
     no link is lost, as one part differs no more than that. With a smaller radius
     only rows that meet within a threshold are compared."""
-    halves, out, apart = len(plans), None, "part" in nodes.columns
-    nodes = nodes.select("node", *[f"f{i}" for i in range(halves)], *["part"] * apart)
+    halves, out = len(plans), None
+    nodes = nodes.select("node", *[f"f{i}" for i in range(halves)])
     for half, (groups, thresholds) in enumerate(plans):
         schema = "key long, probe boolean, " + ", ".join(f"{c} long" for c in nodes.columns)
         entries = nodes.mapInArrow(_entries(half, groups, thresholds), schema)
         out = entries if out is None else out.unionByName(entries)
-    meet = _pairs if apart else _linked
-    return out.repartition(partitions(nodes.sparkSession), "key").mapInArrow(meet(halves, distance), "a long, b long")
+    return out.repartition(partitions(nodes.sparkSession), "key").mapInArrow(_linked(halves, distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, halves: int = 1) -> DataFrame:
@@ -350,46 +323,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, on).select("doc_id", *keys, "component_id")
 
 
-def _similar(words: int, similarity: float):
-    def hashes(text: str) -> set[int]:
-        return {xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.encode(), words)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, set()
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2), batch.column(3)):
-                one, two = one.as_py(), two.as_py()
-                if one != last:
-                    last, x = one, hashes(one)
-                y = hashes(two)
-                both = len(x & y)
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The links a, b between texts whose sets of shingles have the Jaccard
-    similarity asked for. Ids that several rows share stand for all their texts."""
-    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    ids = ends.select(F.explode(F.array("a", "b")).alias("_id")).distinct().toPandas()["_id"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(ids))
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), shared.value
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            yield batch.filter(pa.array(known[at] == own)) if len(known) else batch.slice(0, 0)
-
-    # Only texts that have a link are dealt out.
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(linked, "_id long, text string")
-    one = ends.join(texts, F.col("b") == F.col("_id")).select("a", "b", F.col("text").alias("x"))
-    both = one.join(texts, F.col("a") == F.col("_id")).select("a", "b", "x", F.col("text").alias("y"))
-    return both.mapInArrow(_similar(words, similarity), "a long, b long").distinct()
-
-
 def common_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that occur in many texts of a sample, ascending, and in how many."""
 
@@ -418,156 +351,296 @@ def prefix(hashed: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     return hashed[order[: len(hashed) - ceil(similarity * len(hashed) - 1e-9) + 1]]
 
 
-def _sets(shared, words: int, halves: int, similarity: float):
-    """Signature, size, fingerprints and prefix of each text's set of shingles."""
+def _packed(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _dealt(shared, words: int, halves: int, similarity: float):
+    """Rows of two kinds: for each distinct set of a batch its signature, size,
+    fingerprints, packed text and the ids that have it, dealt by signature; and
+    for each hash of its prefix the hash and the signature, dealt by hash."""
+    bits = [f"f{i}" for i in range(halves)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                own = [np.unique(_hashes({*shingles((t or "").encode(), words)})) for t in part.column(1).to_pylist()]
-                bits = np.array([_bits(h, halves) for h in own], np.uint64).reshape(-1, halves)
-                cols = [pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in own], pa.uint64()).view(pa.int64()), pa.array(list(map(len, own)), pa.int64())]
-                cols += [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(halves)]
-                cols.append(pa.array([prefix(h, shared.value, similarity).view(np.int64) for h in own], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "signature", "size", *(f"f{i}" for i in range(halves)), "prefix"])
+            first: dict[int, tuple] = {}
+            ids: dict[int, list[int]] = {}
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = (t or "").encode()
+                h = np.unique(_hashes({*shingles(text, words)}))
+                sign = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
+                if sign not in first:
+                    first[sign] = (len(h), _bits(h, halves), _packed(text), prefix(h, shared.value, similarity).view(np.int64))
+                ids.setdefault(sign, []).append(doc)
+            if not first:
+                continue
+            own = np.fromiter(first, np.int64, len(first))
+            fp = np.array([x[1] for x in first.values()], np.uint64).reshape(-1, halves)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own), pa.array(own), pa.array([x[0] for x in first.values()], pa.int64()), *[pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(halves)], pa.array([x[2] for x in first.values()], pa.binary()), pa.array(list(ids.values()), pa.list_(pa.int64()))],
+                names=["deal", "signature", "size", *bits, "packed", "ids"],
+            )
+            keys = np.concatenate([x[3] for x in first.values()])
+            of = np.repeat(own, [len(x[3]) for x in first.values()])
+            none = [pa.nulls(len(keys), pa.int64()) for _ in bits]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(of), pa.nulls(len(keys), pa.int64()), *none, pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.list_(pa.int64()))], names=["deal", "signature", "size", *bits, "packed", "ids"])
 
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each hash of a prefix."""
-    for batch in batches:
-        lists = batch.column(1)
-        yield pa.RecordBatch.from_arrays([lists.flatten(), batch.column(0).take(pc.list_parent_indices(lists))], names=["key", "signature"])
-
-
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct rows whose key another signature has too."""
-    if batches := list(batches):
-        got = pa.Table.from_batches(batches)
-        key, own = got["key"].to_numpy(), got["signature"].to_numpy()
-        order = np.lexsort((own, key))
-        key, own = key[order], own[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])[: len(key)]
-        key, own = key[new], own[new]
-        same = key[1:] == key[:-1]
-        met = np.concatenate([[False], same])[: len(key)] | np.concatenate([same, [False]])[: len(key)]
-        yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(own[met])], names=["key", "signature"])
-
-
-def _by_key(batches: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """Rows by key and node; first row and size of each row's key."""
-    got = pa.Table.from_batches(batches)
-    got = got.take(np.lexsort((got["node"].to_numpy(), got["key"].to_numpy())))
-    key = got["key"].to_numpy()
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-    sizes = np.diff(np.append(starts, len(key)))
-    return got, np.repeat(starts, sizes), np.repeat(sizes, sizes)
-
-
-def _compared(batches: list[pa.RecordBatch], halves: int, similarity: float, distance: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of rows i, j of a key and of different parts that may be similar,
-    ordered by i, then j, and their differing bits."""
-    got, start, size = _by_key(batches)
-    if not len(size):
+    """Passes sets on, and of the hashes those that several signatures have, once for each."""
+    keys, of, like = [], [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        is_set = batch.column("size").is_valid()
+        if (got := batch.filter(is_set)).num_rows:
+            yield got
+        rest = batch.filter(pc.invert(is_set))
+        like = rest
+        keys.append(rest.column("deal").to_numpy())
+        of.append(rest.column("signature").to_numpy())
+    if like is None:
         return
-    fp = np.stack([got[f"f{i}"].to_numpy().view(np.uint64) for i in range(halves)], axis=1)
-    large, part = got["size"].to_numpy(), got["part"].to_numpy()
-    done = np.cumsum(size)
-    lo = 0
-    while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(done, done[lo] - size[lo] + PAIRS, "right")))
-        i = np.repeat(np.arange(lo, hi), size[lo:hi])
-        j = np.arange(len(i)) - np.repeat(done[lo:hi] - size[lo:hi] - (done[lo] - size[lo]), size[lo:hi]) + start[i]
-        ok = (part[i] != part[j]) & (np.minimum(large[i], large[j]) >= similarity * np.maximum(large[i], large[j]) - 1e-9)
-        i, j = i[ok], j[ok]
-        d = _distance(fp[i], fp[j])
-        ok = d <= distance
-        yield got, i[ok], j[ok], d[ok]
-        lo = hi
-
-
-def _nearest(halves: int, similarity: float, distance: int):
-    """Each row's nearest row by differing bits, and its first, among those of its key
-    that are of other parts."""
+    key, own = np.concatenate(keys), np.concatenate(of)
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])[: len(key)]
+    key, own = key[new], own[new]
+    same = key[1:] == key[:-1]
+    met = np.concatenate([[False], same])[: len(key)] | np.concatenate([same, [False]])[: len(key)]
+    key, own = key[met], own[met]
+    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), *[pa.nulls(len(key), f.type) for f in like.schema][2:]], schema=like.schema)
+
+
+def _by_key(batches: list[pa.RecordBatch], halves: int) -> tuple[np.ndarray, ...]:
+    """Rows by key, part and node; for each row the first row and the end of its key
+    and the end of its part there."""
+    got = pa.Table.from_batches(batches)
+    key, node, part = (got[c].to_numpy() for c in ("key", "node", "part"))
+    order = np.lexsort((node, part, key))
+    key, node, part = key[order], node[order], part[order]
+    fp = np.stack([got[f"f{i}"].to_numpy()[order].view(np.uint64) for i in range(halves)], axis=1)
+    size = got["size"].to_numpy()[order]
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    new_part = new_key | np.concatenate([[True], part[1:] != part[:-1]])[: len(key)]
+    edges = np.append(np.flatnonzero(new_key), len(key))
+    runs = np.append(np.flatnonzero(new_part), len(key))
+    spread = np.diff(edges)
+    return node, size, fp, np.repeat(edges[:-1], spread), np.repeat(edges[1:], spread), np.repeat(runs[1:], np.diff(runs)), new_part, got["crowd"].to_numpy()[order]
+
+
+def _toward_pivots(halves: int, similarity: float, distance: int):
+    """Each row's nearest among the first rows of the first PIVOTS parts of its key
+    that aren't its own: as many comparisons as rows, times PIVOTS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if batches := list(batches):
-            for got, i, j, d in _compared(batches, halves, similarity, distance):
-                if len(i):
-                    node = got["node"].to_numpy()
-                    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-                    best = np.minimum.reduceat((d << 40) + j, first)
-                    cols = [node[i[first]], best >> 40, node[best & (1 << 40) - 1], node[j[first]]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["node", "d", "near", "least"])
+        if not (batches := [b for b in batches if b.num_rows]):
+            return
+        node, size, fp, start, _, _, new_part, _ = _by_key(batches, halves)
+        part_no = np.cumsum(new_part) - 1
+        rank = part_no - part_no[start]
+        heads = np.flatnonzero(new_part)
+        best, near = np.full(len(node), distance + 1), np.zeros(len(node), np.int64)
+        for q in range(PIVOTS):
+            at = part_no[start] + q
+            live = np.flatnonzero((at < len(heads)) & (rank != q))
+            live = live[start[heads[at[live]]] == start[live]]
+            pivot = heads[at[live]]
+            d = _distance(fp[live], fp[pivot])
+            ok = (d < best[live]) & (np.minimum(size[live], size[pivot]) >= similarity * np.maximum(size[live], size[pivot]) - 1e-9)
+            best[live[ok]], near[live[ok]] = d[ok], node[pivot[ok]]
+        hit = best <= distance
+        yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(best[hit]), pa.array(near[hit])], names=["node", "d", "near"])
 
     return run
 
 
 def _apart(halves: int, similarity: float, distance: int):
-    """All pairs of different parts that share a key and may be similar."""
+    """All pairs of different parts that share a key and may be similar, in blocks,
+    but for those of one crowd."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if batches := list(batches):
-            for got, i, j, _ in _compared(batches, halves, similarity, distance):
-                node = got["node"].to_numpy()
-                ok = node[i] > node[j]
-                pairs = np.unique(np.stack([node[i[ok]], node[j[ok]]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if not (batches := [b for b in batches if b.num_rows]):
+            return
+        node, size, fp, _, end, past, _, crowd = _by_key(batches, halves)
+        many = end - past
+        done = np.cumsum(many)
+        lo, seen = 0, np.zeros(0, np.dtype([("a", np.int64), ("b", np.int64)]))
+        while lo < len(node):
+            hi = max(lo + 1, int(np.searchsorted(done, done[lo] - many[lo] + PAIRS, "right")))
+            i = np.repeat(np.arange(lo, hi), many[lo:hi])
+            j = np.arange(len(i)) - np.repeat(done[lo:hi] - many[lo:hi] - (done[lo] - many[lo]), many[lo:hi]) + past[i]
+            ok = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & ((crowd[i] != crowd[j]) | (crowd[i] == NO_CROWD))
+            i, j = i[ok], j[ok]
+            ok = _distance(fp[i], fp[j]) <= distance
+            a, b = node[i[ok]], node[j[ok]]
+            new = np.zeros(len(a), seen.dtype)
+            new["a"], new["b"] = np.maximum(a, b), np.minimum(a, b)
+            seen = np.unique(np.concatenate([seen, new]))
+            lo = hi
+            if len(seen) > PAIRS or lo >= len(node):  # a pair may be told again; the reader makes pairs distinct
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(seen["a"])), pa.array(np.ascontiguousarray(seen["b"]))], names=["a", "b"])
+                seen = seen[:0]
 
     return run
 
 
+def _similar(words: int, similarity: float):
+    def hashes(packed: bytes) -> np.ndarray:
+        return np.unique(_hashes({*shingles(_unpacked(packed), words)}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3)):
+                one, two = one.as_py(), two.as_py()
+                if one != last:
+                    last, x = one, hashes(one)
+                y = hashes(two)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def crowds(shared: DataFrame) -> DataFrame:
+    """node, crowd, blocks: nodes under hashes that CROWD nodes or more have, with the
+    crowd that such hashes connect and the number of blocks of about BLOCK nodes in it."""
+    keys = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter(F.col("n") >= CROWD).select("key", "first")
+    of = components(shared.join(keys, "key").select("node", "first")).select("node", F.col("root").alias("crowd"))
+    sizes = of.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return checkpointed(of.join(sizes, "crowd").select("node", "crowd", "blocks"))
+
+
+def _cell(words: int, halves: int, similarity: float, distance: int):
+    """The links of different parts between two blocks of a crowd (or within one),
+    as many as connect what they connect."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        group = group.take(np.argsort(group["node"].to_numpy(), kind="stable"))
+        node, part, size, block = (group[c].to_numpy() for c in ("node", "part", "size", "block"))
+        fp = np.stack([group[f"f{i}"].to_numpy().view(np.uint64) for i in range(halves)], axis=1)
+        names, at = np.unique(part, return_inverse=True)
+        forest = _Forest(len(names))
+        sets: dict[int, np.ndarray] = {}
+
+        def own(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.unique(_hashes({*shingles(_unpacked(group["packed"][i].as_py()), words)}))
+            return sets[i]
+
+        out = []
+        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        for i in one.tolist():
+            others = two[two > i] if low == high else two
+            ok = (at[others] != at[i]) & (np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]) - 1e-9)
+            others = others[ok]
+            others = others[_distance(fp[others], fp[i]) <= distance]
+            for j in others.tolist():
+                if forest.find(at[i]) == forest.find(at[j]):
+                    continue
+                x, y = own(i), own(j)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    forest.link(at[i], at[j])
+                    out.append((node[i], node[j]))
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends.max(axis=1, initial=np.iinfo(np.int64).min), "b": ends.min(axis=1, initial=np.iinfo(np.int64).max)})
+
+    return run
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b of nodes whose texts' sets of shingles have the Jaccard
+    similarity asked for. `texts` is partitioned by node, so only pairs and one
+    text for each are dealt out."""
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("x")), "b")
+    both = one.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("y")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(_similar(words, similarity), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 64, halves: int = 3) -> DataFrame:
     """doc_id, component_id: the smallest id reachable over links between texts of
     at least that similarity between their sets of shingles.
 
-    Two such sets share a hash among their prefixes, so all pairs meet; the
-    fingerprints of those that meet are compared and whole texts verify the links.
-    A similarity of 0.8 is 29 of 192 differing bits on average (up to 37 for the
-    smallest sets) with a deviation of about five, so a pair is lost at 64 in less
-    than one case of a million. Each text is first verified against the nearest
-    and the first that it meets in other parts, until that links no more; then all
-    pairs between the parts left are, so none is lost to the choice of links. Equal sets are one node.
-    Null ids, and rows that share an id, are as in `near_duplicates`.
+    The pigeonhole search over 64 bits proposes the first links. As no search by
+    bits finds every pair at 0.8, all other pairs meet by the prefixes of their
+    sets, which two such sets cannot but share. A few rounds contract them
+    cheaply: each text is verified against the nearest pivot that it meets under
+    one hash. Then all pairs between the parts left are verified, so none is lost
+    to the choice of links: one by one, or, among texts under hashes that very
+    many have (a crowd), block against block, so that rows don't grow with the
+    square of a group. Pairs of more than `distance` differing bits of all
+    fingerprints are not verified; a similarity of 0.8 is 29 of 192 bits on
+    average (up to 37 for the smallest sets) with a deviation of about five, so
+    one is lost at 64 in less than a case of a million. Texts with equal sets are
+    one node, named by a 64-bit hash of the set. Rows with a null id take no
+    part; null and empty texts have the empty set and are one group. Of rows that
+    share an id each has a row here. An empty table gives an empty result; extra
+    columns are ignored.
     """
     spark = docs.sparkSession
-    keys = [f"f{i}" for i in range(halves)]
-    bits = ", ".join(f"{k} long" for k in keys)
+    n, bits = partitions(spark), [f"f{i}" for i in range(halves)]
     common = spark.sparkContext.broadcast(common_shingles(docs, text_col, words))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = checkpointed(texts.mapInArrow(_sets(common, words, halves, similarity), f"doc_id long, signature long, size long, {bits}, prefix array<long>"))
-    sets = checkpointed(rows.groupBy("signature").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in ("size", *keys)]))
-    keyed = rows.select("signature", "prefix").mapInArrow(_keyed, "key long, signature long")
-    shared = keyed.repartition(partitions(spark), "key").mapInArrow(_shared_keys, keyed.schema)
-    met = checkpointed(shared.join(sets.filter("node IS NOT NULL"), "signature").select("key", "node", "size", *keys))
-    parts, none = met.withColumn("part", F.col("node")), spark.createDataFrame([], "a long, b long")
-    found = good = none
-    ends = F.explode(F.array(F.col("n.near"), F.col("least"))).alias("b")
-    while True:
-        nearest = parts.repartition(partitions(spark), "key").mapInArrow(_nearest(halves, similarity, distance), "node long, d long, near long, least long")
-        nearest = nearest.groupBy("node").agg(F.min(F.struct("d", "near")).alias("n"), F.min("least").alias("least"))
-        pairs = nearest.select(F.col("node").alias("a"), ends).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = checkpointed(pairs.join(found, ["a", "b"], "left_anti"))
-        more = checkpointed(verified(new, docs, id_col, text_col, words, similarity))
-        found, good = found.unionByName(new), good.unionByName(more)
-        if more.isEmpty():
-            break
-        parts = checkpointed(met.join(components(good), "node", "left").select("key", "node", "size", *keys, F.coalesce("root", "node").alias("part")))
-    rest = parts.repartition(partitions(spark), "key").mapInArrow(_apart(halves, similarity, distance), "a long, b long").distinct().join(found, ["a", "b"], "left_anti")
-    good = good.unionByName(verified(checkpointed(rest), docs, id_col, text_col, words, similarity))
-    named = sets.join(components(good), "node", "left").select(F.col("signature").alias("_signature"), F.coalesce("root", "node").alias("component_id"))
-    return rows.join(named, rows["signature"] == F.col("_signature")).select("doc_id", "component_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
+    schema = f"deal long, signature long, size long, {', '.join(f'{b} long' for b in bits)}, packed binary, ids array<long>"
+    dealt = texts.mapInArrow(_dealt(common, words, halves, similarity), schema).repartition(n, "deal").mapInArrow(_shared_keys, schema)
+    dealt = checkpointed(dealt)
+    sets = dealt.filter("size IS NOT NULL")
+    # One row a node, and partitioned by it, as all that follows joins by nodes.
+    texts = checkpointed(sets.groupBy(F.col("signature").alias("node")).agg(F.min(F.array_min("ids")).alias("least"), F.first("packed").alias("packed"), *[F.first(c).alias(c) for c in ("size", *bits)]), partitioned=True)
+    nodes = texts.drop("packed", "least")
+    shared = checkpointed(dealt.filter("size IS NULL").select(F.col("deal").alias("key"), F.col("signature").alias("node")).repartition(n, "node"), partitioned=True)
+    many = crowds(shared)
+    good = found = spark.createDataFrame([], "a long, b long")
+
+    def contract(pairs: DataFrame) -> DataFrame:
+        nonlocal good, found
+        new = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(found, ["a", "b"], "left_anti"))
+        found, good = found.unionByName(new), good.unionByName(checkpointed(verified(new, texts, words, similarity)))
+        return components(good)
+
+    def placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rows with what comparisons need, dealt by hash."""
+        known = rows.join(nodes, "node").join(roots, "node", "left").join(many.select("node", "crowd"), "node", "left")
+        return known.select("key", "node", "size", *bits, F.coalesce("root", "node").alias("part"), F.coalesce("crowd", F.lit(NO_CROWD)).alias("crowd")).repartition(n, "key")
+
+    single = nodes.select("node", "f0")
+    roots = contract(link_fingerprints(single, search_plans(single, 1, RADIUS), RADIUS))
+    for turn in range(TURNS):
+        one = shared.groupBy("node").agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("key"))
+        near = placed(one, roots).mapInArrow(_toward_pivots(halves, similarity, distance // 2), "node long, d long, near long")
+        roots = contract(near.select(F.col("node").alias("a"), F.col("near").alias("b")))
+    rest = contract(placed(shared, roots).mapInArrow(_apart(halves, similarity, distance), "a long, b long"))
+    cells = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    apart = texts.join(many, "node").join(rest, "node", "left").withColumn("part", F.coalesce("root", "node")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    apart = apart.withColumn("other", cells).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    inside = apart.select("crowd", "low", "high", "block", "node", "part", "size", *bits, "packed").groupBy("crowd", "low", "high").applyInArrow(_cell(words, halves, similarity, distance), "a long, b long")
+    roots = components(good.unionByName(checkpointed(inside)))
+    linked = texts.select("node", "least").join(roots, "node")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    of = texts.select("node", "least").join(named, "node", "left").select(F.col("node").alias("signature"), F.coalesce("component_id", "least").alias("component_id"))
+    return sets.select("signature", F.explode("ids").alias("doc_id")).join(of, "signature").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` that stay: of each group of similar texts those with the
-    smallest id. Rows with a null id stay."""
-    groups = similar_groups(docs, id_col, text_col, words, similarity)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    stay = docs.join(kept, docs[id_col] == F.col("_kept_id"), "left_semi")
-    return stay.unionByName(docs.filter(F.col(id_col).isNull()))
+    """The rows of `docs` that stay, with all their columns: of each group of similar
+    texts those with the smallest id. Rows with a null id stay. Rows that share an
+    id stay if one of their texts has the smallest id of its group. Null and
+    empty texts are one group; an empty table gives an empty one."""
+    groups, mark = similar_groups(docs, id_col, text_col, words, similarity), unused("kept_id", docs)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    stay = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col(mark), "left_semi")
+    return stay.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
