@@ -37,8 +37,10 @@ COMMON_SAMPLE, COMMON = 8000, 3
 COMMON_MOST = 200_000
 #: Pairs compared at once; each takes over 100 bytes.
 PAIRS = 200_000
-#: Of the search for similar texts: bits of the pigeonhole search, rounds by single hashes, and pivots in each.
+#: Of the search for similar texts: bits of the pigeonhole search, hashes by which a text first meets pivots, and pivots of a hash.
 RADIUS, TURNS, PIVOTS = 4, 3, 8
+#: Slots by which texts are left out before a join, and so the most rows broadcast there.
+SLOTS = 1 << 20
 #: A hash that so many texts have makes them a crowd; crowds are compared in blocks of about BLOCK texts.
 CROWD, BLOCK, NO_CROWD = 64, 128, 0
 
@@ -351,71 +353,79 @@ def prefix(hashed: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     return hashed[order[: len(hashed) - ceil(similarity * len(hashed) - 1e-9) + 1]]
 
 
-def _packed(text: bytes) -> bytes:
-    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-
-
-def _dealt(shared, words: int, halves: int, similarity: float):
+def _dealt(shared, words: int, halves: int, similarity: float, buckets: int):
     """Rows of two kinds: for each distinct set of a batch its signature, size,
-    fingerprints, packed text and the ids that have it, dealt by signature; and
-    for each hash of its prefix the hash and the signature, dealt by hash."""
+    fingerprints, least id, the row that has it, and all ids, dealt by signature;
+    and for each bucket of hashes of the sets' prefixes a blob, dealt by bucket."""
     bits = [f"f{i}" for i in range(halves)]
+    names = ["deal", "signature", "size", *bits, "least", "row", "ids", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first: dict[int, tuple] = {}
-            ids: dict[int, list[int]] = {}
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = (t or "").encode()
-                h = np.unique(_hashes({*shingles(text, words)}))
+            first: dict[int, list] = {}
+            for doc, row, t in zip(*(c.to_pylist() for c in batch.columns)):
+                h = np.unique(_hashes({*shingles((t or "").encode(), words)}))
                 sign = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
                 if sign not in first:
-                    first[sign] = (len(h), _bits(h, halves), _packed(text), prefix(h, shared.value, similarity).view(np.int64))
-                ids.setdefault(sign, []).append(doc)
+                    first[sign] = [len(h), _bits(h, halves), prefix(h, shared.value, similarity), (doc, row), []]
+                own = first[sign]
+                own[3] = min(own[3], (doc, row))
+                own[4].append(doc)
             if not first:
                 continue
-            own = np.fromiter(first, np.int64, len(first))
-            fp = np.array([x[1] for x in first.values()], np.uint64).reshape(-1, halves)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array(own), pa.array([x[0] for x in first.values()], pa.int64()), *[pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(halves)], pa.array([x[2] for x in first.values()], pa.binary()), pa.array(list(ids.values()), pa.list_(pa.int64()))],
-                names=["deal", "signature", "size", *bits, "packed", "ids"],
-            )
-            keys = np.concatenate([x[3] for x in first.values()])
-            of = np.repeat(own, [len(x[3]) for x in first.values()])
-            none = [pa.nulls(len(keys), pa.int64()) for _ in bits]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(of), pa.nulls(len(keys), pa.int64()), *none, pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.list_(pa.int64()))], names=["deal", "signature", "size", *bits, "packed", "ids"])
+            sign, rows = np.fromiter(first, np.int64, len(first)), list(first.values())
+            fp = np.array([x[1] for x in rows], np.uint64).reshape(-1, halves)
+            cols = [pa.array(sign), pa.array(sign), pa.array([x[0] for x in rows], pa.int64()), *[pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(halves)], pa.array([x[3][0] for x in rows], pa.int64()), pa.array([x[3][1] for x in rows], pa.int64()), pa.array([x[4] for x in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(rows), pa.binary())], names=names)
+            key = np.concatenate([x[2] for x in rows])
+            of = np.repeat(sign, [len(x[2]) for x in rows])
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((key, bucket))
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = [(b, order[x:y]) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+            blobs = [_narrow(key[o]) + of[o].tobytes() for _, o in some]
+            none = [pa.nulls(len(some), c.type) for c in cols[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int64()), *none, pa.array(blobs, pa.binary())], names=names)
 
     return run
 
 
+def _narrow(key: np.ndarray) -> bytes:
+    """Six bytes of each hash. Sets that meet by mistake are compared and told apart."""
+    return np.ascontiguousarray(key.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _widened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 14
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(-1, 6)
+    return out.view(np.int64).ravel(), np.frombuffer(blob, np.int64, n, 6 * n)
+
+
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes sets on, and of the hashes those that several signatures have, once for each."""
-    keys, of, like = [], [], None
+    """Passes sets on; of the hashes in a bucket's blobs those that several signatures
+    have, once for each."""
+    blobs: dict[int, list] = {}
+    schema = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        is_set = batch.column("size").is_valid()
-        if (got := batch.filter(is_set)).num_rows:
+        schema = batch.schema
+        told = batch.column("blob").is_valid()
+        if (got := batch.filter(pc.invert(told))).num_rows:
             yield got
-        rest = batch.filter(pc.invert(is_set))
-        like = rest
-        keys.append(rest.column("deal").to_numpy())
-        of.append(rest.column("signature").to_numpy())
-    if like is None:
-        return
-    key, own = np.concatenate(keys), np.concatenate(of)
-    order = np.lexsort((own, key))
-    key, own = key[order], own[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])[: len(key)]
-    key, own = key[new], own[new]
-    same = key[1:] == key[:-1]
-    met = np.concatenate([[False], same])[: len(key)] | np.concatenate([same, [False]])[: len(key)]
-    key, own = key[met], own[met]
-    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), *[pa.nulls(len(key), f.type) for f in like.schema][2:]], schema=like.schema)
+        rest = batch.filter(told)
+        for b, x in zip(rest.column("deal").to_pylist(), rest.column("blob")):
+            blobs.setdefault(b, []).append(_widened(x.as_py()))
+    for some in blobs.values():
+        key, own = (np.concatenate([x[i] for x in some]) for i in (0, 1))
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+        key, own = key[new], own[new]
+        same = key[1:] == key[:-1]
+        met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        key, own = key[met], own[met]
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), *[pa.nulls(len(key), f.type) for f in schema][2:]], schema=schema)
 
 
 def _by_key(batches: list[pa.RecordBatch], halves: int) -> tuple[np.ndarray, ...]:
@@ -492,8 +502,8 @@ def _apart(halves: int, similarity: float, distance: int):
 
 
 def _similar(words: int, similarity: float):
-    def hashes(packed: bytes) -> np.ndarray:
-        return np.unique(_hashes({*shingles(_unpacked(packed), words)}))
+    def hashes(text: str) -> np.ndarray:
+        return np.unique(_hashes({*shingles(text.encode(), words)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
@@ -535,7 +545,7 @@ def _cell(words: int, halves: int, similarity: float, distance: int):
 
         def own(i: int) -> np.ndarray:
             if i not in sets:
-                sets[i] = np.unique(_hashes({*shingles(_unpacked(group["packed"][i].as_py()), words)}))
+                sets[i] = np.unique(_hashes({*shingles(group["text"][i].as_py().encode(), words)}))
             return sets[i]
 
         out = []
@@ -559,12 +569,18 @@ def _cell(words: int, halves: int, similarity: float, distance: int):
     return run
 
 
+def texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, text of the nodes asked for, nearly: rows in other slots of a hash are left
+    out before anything is dealt. The slots broadcast are SLOTS at most."""
+    asked = nodes.select(F.pmod("node", F.lit(SLOTS)).alias("slot")).distinct()
+    return texts.withColumn("slot", F.pmod("node", F.lit(SLOTS))).join(F.broadcast(asked), "slot", "left_semi").select("node", "text")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs a, b of nodes whose texts' sets of shingles have the Jaccard
-    similarity asked for. `texts` is partitioned by node, so only pairs and one
-    text for each are dealt out."""
-    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("x")), "b")
-    both = one.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("y")), "a")
+    """The pairs a, b of nodes whose texts' sets of shingles have the Jaccard similarity asked for."""
+    some = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts)
+    one = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("x")), "b")
+    both = one.join(some.select(F.col("node").alias("a"), F.col("text").alias("y")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(_similar(words, similarity), "a long, b long")
 
 
@@ -574,9 +590,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The pigeonhole search over 64 bits proposes the first links. As no search by
     bits finds every pair at 0.8, all other pairs meet by the prefixes of their
-    sets, which two such sets cannot but share. A few rounds contract them
-    cheaply: each text is verified against the nearest pivot that it meets under
-    one hash. Then all pairs between the parts left are verified, so none is lost
+    sets, which two such sets cannot but share. At first each text is verified
+    only against the nearest pivot that it meets under a few of its hashes, which
+    contracts groups cheaply. Then all pairs between the parts left are verified, so none is lost
     to the choice of links: one by one, or, among texts under hashes that very
     many have (a crowd), block against block, so that rows don't grow with the
     square of a group. Pairs of more than `distance` differing bits of all
@@ -591,44 +607,48 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     n, bits = partitions(spark), [f"f{i}" for i in range(halves)]
     common = spark.sparkContext.broadcast(common_shingles(docs, text_col, words))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    schema = f"deal long, signature long, size long, {', '.join(f'{b} long' for b in bits)}, packed binary, ids array<long>"
-    dealt = texts.mapInArrow(_dealt(common, words, halves, similarity), schema).repartition(n, "deal").mapInArrow(_shared_keys, schema)
-    dealt = checkpointed(dealt)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("node"), "text")
+    schema = f"deal long, signature long, size long, {', '.join(f'{b} long' for b in bits)}, least long, row long, ids array<long>, blob binary"
+    dealt = checkpointed(rows.mapInArrow(_dealt(common, words, halves, similarity, 4 * n), schema).repartition(n, "deal").mapInArrow(_shared_keys, schema))
     sets = dealt.filter("size IS NOT NULL")
-    # One row a node, and partitioned by it, as all that follows joins by nodes.
-    texts = checkpointed(sets.groupBy(F.col("signature").alias("node")).agg(F.min(F.array_min("ids")).alias("least"), F.first("packed").alias("packed"), *[F.first(c).alias(c) for c in ("size", *bits)]), partitioned=True)
-    nodes = texts.drop("packed", "least")
-    shared = checkpointed(dealt.filter("size IS NULL").select(F.col("deal").alias("key"), F.col("signature").alias("node")).repartition(n, "node"), partitioned=True)
+    # One row a node, named by its least row, and partitioned by it, as all that follows joins by nodes.
+    nodes = sets.groupBy("signature").agg(F.min(F.struct("least", "row")).alias("m"), *[F.first(c).alias(c) for c in ("size", *bits)]).select("signature", F.col("m.row").alias("node"), F.col("m.least").alias("least"), "size", *bits)
+    nodes = checkpointed(nodes.repartition(n, "node"), partitioned=True)
+    shared = dealt.filter("size IS NULL").select(F.col("deal").alias("key"), "signature").join(nodes.select("signature", "node"), "signature").select("key", "node")
+    shared = checkpointed(shared.repartition(n, "node"), partitioned=True)
     many = crowds(shared)
-    good = found = spark.createDataFrame([], "a long, b long")
+    texts = rows.select("node", "text")
 
-    def contract(pairs: DataFrame) -> DataFrame:
-        nonlocal good, found
-        new = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(found, ["a", "b"], "left_anti"))
-        found, good = found.unionByName(new), good.unionByName(checkpointed(verified(new, texts, words, similarity)))
-        return components(good)
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        return checkpointed(verified(pairs, texts, words, similarity))
 
-    def placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    def placed(some: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Rows with what comparisons need, dealt by hash."""
-        known = rows.join(nodes, "node").join(roots, "node", "left").join(many.select("node", "crowd"), "node", "left")
+        known = some.join(nodes.select("node", "size", *bits), "node").join(many.select("node", "crowd"), "node", "left")
+        known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left")
         return known.select("key", "node", "size", *bits, F.coalesce("root", "node").alias("part"), F.coalesce("crowd", F.lit(NO_CROWD)).alias("crowd")).repartition(n, "key")
 
     single = nodes.select("node", "f0")
-    roots = contract(link_fingerprints(single, search_plans(single, 1, RADIUS), RADIUS))
-    for turn in range(TURNS):
-        one = shared.groupBy("node").agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("key"))
-        near = placed(one, roots).mapInArrow(_toward_pivots(halves, similarity, distance // 2), "node long, d long, near long")
-        roots = contract(near.select(F.col("node").alias("a"), F.col("near").alias("b")))
-    rest = contract(placed(shared, roots).mapInArrow(_apart(halves, similarity, distance), "a long, b long"))
-    cells = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    apart = texts.join(many, "node").join(rest, "node", "left").withColumn("part", F.coalesce("root", "node")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    apart = apart.withColumn("other", cells).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    inside = apart.select("crowd", "low", "high", "block", "node", "part", "size", *bits, "packed").groupBy("crowd", "low", "high").applyInArrow(_cell(words, halves, similarity, distance), "a long, b long")
+    near = link_fingerprints(single, search_plans(single, 1, RADIUS), RADIUS)
+    first = shared.groupBy("node").agg(*[F.min_by("key", F.xxhash64("key", F.lit(t))).alias(f"k{t}") for t in range(TURNS)])
+    first = first.select("node", F.explode(F.array_distinct(F.array(*[f"k{t}" for t in range(TURNS)]))).alias("key"))
+    toward = placed(first, None).mapInArrow(_toward_pivots(halves, similarity, distance // 2), "node long, d long, near long")
+    toward = toward.groupBy("node").agg(F.min_by("near", F.struct("d", "near")).alias("near"), F.min("near").alias("least"))
+    toward = toward.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("near", "least"))).alias("b"))
+    good = checked(near.unionByName(toward))
+    roots = components(good)
+    good = good.unionByName(checked(placed(shared, roots).mapInArrow(_apart(halves, similarity, distance), "a long, b long")))
+    roots = components(good)
+    crowd = many.join(nodes.select("node", "size", *bits), "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    crowd = crowd.join(texts_of(many, texts).dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    inside = crowd.select("crowd", "low", "high", "block", "node", "part", "size", *bits, "text").groupBy("crowd", "low", "high").applyInArrow(_cell(words, halves, similarity, distance), "a long, b long")
     roots = components(good.unionByName(checkpointed(inside)))
-    linked = texts.select("node", "least").join(roots, "node")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    of = texts.select("node", "least").join(named, "node", "left").select(F.col("node").alias("signature"), F.coalesce("component_id", "least").alias("component_id"))
+    linked = nodes.select("signature", "node", "least").join(roots, "node")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("signature", "component_id")
+    of = nodes.select("signature", "least").join(named, "signature", "left").select("signature", F.coalesce("component_id", "least").alias("component_id"))
     return sets.select("signature", F.explode("ids").alias("doc_id")).join(of, "signature").select("doc_id", "component_id")
 
 
