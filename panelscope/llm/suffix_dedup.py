@@ -3,10 +3,11 @@
 Every window of LENGTH bytes is represented by its anchor, the place in it whose
 hash of GRAM bytes is least. Equal windows have equal anchors, so anchors deal
 windows to buckets without losing a match, and a window whose anchor occurs in
-one document only needs no comparison. Each bucket compares its windows exactly:
-contents are dealt to shards of bounded size, each with a suffix array by
-prefix doubling and common prefixes by Kasai's rule; the shards' sorted windows
-are merged by binary search.
+one document only needs no comparison. Documents stand in shards, which speak
+with the buckets in packed blobs. A bucket compares windows exactly: the shards'
+contents under its anchors fill suffix arrays of bounded size, sorted by
+Larsson-Sadakane refinement, with common prefixes by Kasai's rule, and the
+arrays' sorted windows are merged by binary search.
 """
 
 from __future__ import annotations
@@ -15,16 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, table
 
 LENGTH, GRAM = 50, 20
-SHARD = 1 << 21
+#: Bytes of contents in one suffix array, and compared in one go within a bucket.
+SHARD, PIECE = 1 << 20, 1 << 23
+#: Bytes of text in a shard of documents, and for each bucket of anchors.
+SHARD_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of text that a map task looks at together.
-BLOCK = 4 << 20
+#: Windows that are hashed together.
+BLOCK = 1 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -60,21 +65,32 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return x if width == w else np.minimum(x[: len(x) - (w - width)], x[w - width :])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each run of windows with the same least hash, its first window and
-    the one after its last. Every window is in exactly one run."""
-    if len(data) < length:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with the same least hash: the hash, the first
+    window and the number of windows. `offsets` parts the documents in `data`;
+    every window within a document is in exactly one run, however many documents
+    stand side by side."""
+    starts, ends = offsets[:-1], offsets[1:]
+    shut = np.zeros(len(data) + 1, np.int32)
+    np.add.at(shut, np.maximum(starts, ends - length + 1), 1)
+    np.add.at(shut, ends, -1)
+    opened = np.cumsum(shut[:-1]) == 0
+    found: list[tuple] = []
+    for a in range(0, max(len(data) - length + 1, 0), BLOCK):
+        part = data[a : a + BLOCK + length - 1]
+        least = window_min(gram_hashes(part, gram), length - gram + 1)
+        at = np.flatnonzero(opened[a : a + len(least)])
+        if len(at):
+            h = least[at]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)]))
+            found.append((h[first], at[first] + a, np.diff(np.append(first, len(at)))))
+    if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = window_min(gram_hashes(data, gram), length - gram + 1)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    after = np.append(first[1:], len(least))
+    h, first, count = (np.concatenate([f[i] for f in found]) for i in range(3))
     # A run longer than a window's reach can only stem from repeats; it is cut so that contents stay short.
-    long = after - first > length
-    if long.any():
-        pieces = [np.arange(a, b, length) if cut else np.array([a]) for a, b, cut in zip(first, after, long)]
-        first = np.concatenate(pieces)
-        after = np.append(first[1:], len(least))
-    return least[first], first, after
+    pieces = -(-count // length)
+    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(h, pieces), np.repeat(first, pieces) + within * length, np.minimum(np.repeat(count, pieces) - within * length, length)
 
 
 def _narrow(h: np.ndarray) -> bytes:
@@ -100,107 +116,116 @@ def _unplaned(data: pa.Buffer, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, n).T).view(np.int64).ravel()
 
 
-def _bytes(text) -> np.ndarray:
-    return np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
+def _shard(texts: pa.Table) -> tuple[pa.Table, int, np.ndarray, np.ndarray]:
+    """A shard's rows by id and text, the number of those with an id, which come
+    first, and their bytes and offsets. The order is the same however rows arrive."""
+    texts = texts.take(pc.sort_indices(texts, [("doc_id", "ascending"), ("text", "ascending")]))
+    text = pc.fill_null(texts["text"], "").cast(pa.large_string()).combine_chunks()
+    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return texts, len(texts) - texts["doc_id"].null_count, data, offsets - offsets[0]
 
 
-def _announced(length: int, gram: int, buckets: int):
-    """Blobs (bucket, hashes, docs) of the anchors' hashes, once a document."""
-
-    def pack(hashes: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
-        h, d = np.concatenate(hashes), np.concatenate(docs)
-        b = (h % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(b, kind="stable")
-        h, d, b = h[order], d[order], b[order]
-        at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-        ends = np.append(at[1:], len(b))
-        return pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([_narrow(h[s:e]) for s, e in zip(at, ends)], pa.binary()), pa.array([_planes(d[s:e]) for s, e in zip(at, ends)], pa.binary())], names=["bucket", "hashes", "docs"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs, held = [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                h = np.unique(anchors(_bytes(text), length, gram)[0])
-                if len(h):
-                    hashes.append(h)
-                    docs.append(np.full(len(h), doc.as_py(), np.int64))
-                    held += len(h)
-                if held > BLOCK // 4:
-                    yield pack(hashes, docs)
-                    hashes, docs, held = [], [], 0
-        if hashes:
-            yield pack(hashes, docs)
+def _numbered(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket and narrow hash of the distinct anchors, in order, and each run's place there."""
+    bucket, narrow = (h % np.uint64(buckets)).astype(np.int64), h >> np.uint64(24)
+    order = np.lexsort((narrow, bucket))
+    b, x = bucket[order], narrow[order]
+    new = np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])])[: len(b)]
+    place = np.zeros(len(h), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return b[new], x[new], place
+
+
+def _cuts(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """Value, start and end of the runs of ordered numbers."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+    return list(zip(x[at].tolist(), at.tolist(), np.append(at[1:], len(x)).tolist()))
 
-    return run
 
+def _announced(length: int, gram: int, buckets: int):
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        """A shard's distinct anchors by bucket, and bits for those of several of its documents."""
+        texts, named, data, offsets = _shard(texts)
+        ids, offsets = texts["doc_id"].slice(0, named).to_numpy().astype(np.int64), offsets[: named + 1]
+        h, first, _ = anchors(data[: offsets[-1]], offsets, length, gram)
+        b, x, place = _numbered(h, buckets)
+        own = ids[np.searchsorted(offsets, first, side="right") - 1] if len(first) else first
+        low, high = np.full(len(b), np.iinfo(np.int64).max), np.full(len(b), np.iinfo(np.int64).min)
+        np.minimum.at(low, place, own)
+        np.maximum.at(high, place, own)
+        cuts = _cuts(b)
+        hashes = [_narrow(x[s:e] << np.uint64(24)) for _, s, e in cuts]
+        several = [np.packbits(low[s:e] < high[s:e]).tobytes() for _, s, e in cuts]
+        return pa.table({"bucket": pa.array([c[0] for c in cuts], pa.int32()), "shard": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "hashes": pa.array(hashes, pa.binary()), "several": pa.array(several, pa.binary())})
 
-def _by_doc(docs: np.ndarray, values: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], values[order]
-    at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(docs))
-    return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array([values[s:e].tobytes() for s, e in zip(at, ends)], pa.binary())], names=names)
+    return run
 
 
 def _shared(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Of a bucket's hashes those that occur in several documents, by document."""
+    """For each shard's announcement bits for the anchors that several documents have."""
     parts = [_wide(x.as_buffer()) for x in group["hashes"]]
-    d = np.concatenate([_unplaned(x.as_buffer(), len(y)) for x, y in zip(group["docs"], parts)])
-    h = np.concatenate(parts)
-    order = np.argsort(h)
-    h, d = h[order], d[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    size = np.diff(np.append(at, len(h)))
-    low, high = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
-    keep = np.repeat(low < high, size)
-    return pa.Table.from_batches([_by_doc(d[keep], np.frombuffer(_narrow(h[keep] << np.uint64(24)), "V5"), ["doc_id", "hashes"])])
+    several = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(p)).astype(bool) for x, p in zip(group["several"], parts)]
+    names, at, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    known = times > 1
+    np.logical_or.at(known, at, np.concatenate(several))
+    ends = np.cumsum([len(p) for p in parts])
+    bits = [np.packbits(known[at[e - len(p) : e]]).tobytes() for e, p in zip(ends, parts)]
+    return pa.table({"shard": group["shard"], "bucket": group["bucket"], "bits": pa.array(bits, pa.binary())})
 
 
 def _contents(length: int, gram: int, buckets: int):
-    """Blobs of the windows whose anchors are shared: bucket, number, and compressed
-    docs, first windows, numbers of bytes, anchors, bytes."""
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        b, d, p, n = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        text, anchor = np.concatenate([r[4] for r in rows]), np.concatenate([r[5] for r in rows])
-        start = np.cumsum(n) - n
-        order = np.argsort(b, kind="stable")
-        b = b[order]
-        at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-        cols: list[list] = [[] for _ in range(7)]
-        for s, e in zip(at, np.append(at[1:], len(b))):
-            own = order[s:e]
-            size = n[own]
-            take = np.repeat(start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            for col, v in zip(cols, (int(b[s]), len(own), _planes(d[own]), _planes(p[own]), _planes(size), _narrow(anchor[own]), pa.compress(text[take].tobytes(), codec="zstd", asbytes=True))):
-                col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["bucket", "n", "docs", "firsts", "sizes", "anchors", "bytes"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for batch in batches:
-            for doc, text, blobs in zip(batch.column(0), batch.column(1), batch.column(2)):
-                if not blobs.is_valid or not text.is_valid:
-                    continue
-                data = _bytes(text)
-                h, first, after = anchors(data, length, gram)
-                hit = np.isin(h >> np.uint64(24), _wide(b"".join(blobs.as_py())))
-                h, first, after = h[hit], first[hit], after[hit]
-                if not len(h):
-                    continue
-                size = after - first + length - 1
-                take = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                rows.append(((h % np.uint64(buckets)).astype(np.int32), np.full(len(h), doc.as_py(), np.int64), first, size, data[take], h))
-                held += size.sum()
-                if held > BLOCK:
-                    yield pack(rows)
-                    rows, held = [], 0
-        if rows:
-            yield pack(rows)
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, replies: pa.Table) -> pa.Table:
+        """A shard's distinct contents (runs of windows whose anchor is shared) by bucket,
+        each for its smallest id, with the places where that id has it. What larger
+        ids repeat within the shard is settled here and passes through as spans."""
+        texts, named, data, offsets = _shard(texts)
+        ids, offsets = texts["doc_id"].slice(0, named).to_numpy().astype(np.int64), offsets[: named + 1]
+        h, first, count = anchors(data[: offsets[-1]], offsets, length, gram)
+        b, x, place = _numbered(h, buckets)
+        known = np.zeros(len(b), bool)
+        for bucket, bits in zip(replies["bucket"].to_pylist(), replies["bits"]):
+            s, e = np.searchsorted(b, [bucket, bucket + 1])
+            known[s:e] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=e - s)
+        hit = known[place] if len(place) else np.zeros(0, bool)
+        first, count, place = first[hit], count[hit], place[hit]
+        text, after = data.tobytes(), first + count + length - 1
+        number: dict[bytes, int] = {}
+        kind = np.fromiter((number.setdefault(text[s:e], len(number)) for s, e in zip(first.tolist(), after.tolist())), np.int64, len(first))
+        head = np.zeros(len(number), np.int64)
+        head[kind[::-1]] = np.arange(len(kind))[::-1]  # rows are in order of ids, so the first has the smallest
+        doc = np.searchsorted(offsets, first, side="right") - 1
+        own = ids[doc] if len(first) else first
+        later = own > own[head][kind]
+        # Places are told as if documents stood one byte apart, so that runs of neighbours stay two.
+        settled = merge_spans(np.stack([first + doc, after + doc], axis=1)[later])
+        rank = np.argsort(place[head], kind="stable")  # contents by bucket and anchor
+        turned = np.empty_like(rank)
+        turned[rank] = np.arange(len(rank))
+        rest = np.flatnonzero(~later)
+        rest = rest[np.argsort(turned[kind[rest]], kind="stable")]
+        of, at = turned[kind[rest]], (first + doc)[rest]
+        lead = head[rank]
+        size, owner, anchor, bucket = (after - first)[lead], own[lead], x[place[lead]], b[place[lead]]
+        out: dict[str, list] = {c: [] for c in ("bucket", "n", "owners", "sizes", "anchors", "bytes", "many", "of", "firsts", "settled")}
+        for i, s, e in _cuts(bucket):
+            p, q = np.searchsorted(of, [s, e])
+            raw = b"".join(text[f : f + n] for f, n in zip(first[lead[s:e]].tolist(), size[s:e].tolist()))
+            for c, v in zip(out, (i, e - s, _planes(owner[s:e]), _planes(size[s:e]), _narrow(anchor[s:e] << np.uint64(24)), pa.compress(raw, codec="zstd", asbytes=True), q - p, _planes(of[p:q] - s), _planes(at[p:q]), b"")):
+                out[c].append(v)
+        if len(settled):
+            for c, v in zip(out, (key[0].as_py() % buckets, 0, *[b""] * 4, 0, b"", b"", settled.astype(np.int64).tobytes())):
+                out[c].append(v)
+        kinds = {"bucket": pa.int32(), "n": pa.int64(), "many": pa.int64()}
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(out["n"]), pa.int64())} | {c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()})
 
     return run
 
 
+CONTENTS = "shard long, bucket int, n long, owners binary, sizes binary, anchors binary, bytes binary, many long, of binary, firsts binary, settled binary"
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """All suffixes in order.
 
@@ -332,53 +357,88 @@ def least_owners(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owner:
     return out
 
 
+def _gone(length: int, owners: np.ndarray, sizes: np.ndarray, anchor: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the contents given, runs of windows that a smaller id has too: content, first
+    window and last window."""
+    at = np.cumsum(sizes) - sizes
+    number: dict[bytes, int] = {}
+    kind = np.fromiter((number.setdefault(text[s : s + n], len(number)) for s, n in zip(at.tolist(), sizes.tolist())), np.int64, len(at))
+    distinct = list(number)
+    own = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(own, kind, owners)
+    size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    n_win = size - length + 1
+    base = np.cumsum(n_win) - n_win
+    least = np.repeat(own, n_win)
+    # Windows can only equal windows of the same anchor, so a content that is its anchor's only one needs no array.
+    of = np.zeros(len(distinct), np.uint64)
+    of[kind] = anchor
+    order = np.argsort(of, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
+    run = np.diff(np.append(head, len(of)))
+    some = order[np.repeat(run > 1, run)]
+    if len(some):
+        part = size[some]
+        found = least_owners(np.frombuffer(b"".join([distinct[i] for i in some]), np.uint8), np.cumsum(part) - part, part, own[some], length)
+        n = n_win[some]
+        least[np.repeat(base[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = found
+    out = []
+    for lo in range(0, len(owners), 100_000):
+        k, d = kind[lo : lo + 100_000], owners[lo : lo + 100_000]
+        n = n_win[k]
+        row = np.repeat(np.arange(len(k)), n)
+        off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        gone = least[base[k][row] + off] < d[row]
+        row, off = row[gone], off[gone]
+        fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)])[: len(row)]
+        head = np.flatnonzero(fresh)
+        tail = np.append(head[1:], len(row))[: len(head)] - 1
+        out.append((row[head] + lo, off[head], off[tail]))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
 def _compared(length: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        """Spans to remove of a bucket's documents."""
-        many = group["n"].to_pylist()
-        docs, firsts, sizes = (np.concatenate([_unplaned(x.as_buffer(), n) for x, n in zip(group[c], many)]) for c in ("docs", "firsts", "sizes"))
-        anchor = np.concatenate([_wide(x.as_buffer()) for x in group["anchors"]])
-        ends = np.cumsum(many)
-        text = b"".join(pa.decompress(x.as_buffer(), int(sizes[e - n : e].sum()), codec="zstd", asbytes=True) for x, n, e in zip(group["bytes"], many, ends))
-        at = np.cumsum(sizes) - sizes
-        # Equal contents are compared once, for the smallest of their documents.
-        number: dict[bytes, int] = {}
-        kind = np.fromiter((number.setdefault(text[s : s + n], len(number)) for s, n in zip(at.tolist(), sizes.tolist())), np.int64, len(at))
-        distinct = list(number)
-        own = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(own, kind, docs)
-        size = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        least = np.repeat(own, size - length + 1)
-        # Windows can only equal windows of the same anchor, so a content that is its anchor's only one needs no array.
-        of = np.zeros(len(distinct), np.uint64)
-        of[kind] = anchor
-        order = np.argsort(of)
-        head = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
-        several = np.repeat(np.diff(np.append(head, len(of))) > 1, np.diff(np.append(head, len(of))))
-        some = order[several]
-        if len(some):
-            part = size[some]
-            found = least_owners(np.frombuffer(b"".join([distinct[i] for i in some]), np.uint8), np.cumsum(part) - part, part, own[some], length)
-            n, to = part - length + 1, np.cumsum(size - length + 1) - (size - length + 1)
-            least[np.repeat(to[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = found
-        n_win = size - length + 1
-        base = np.cumsum(n_win) - n_win
-        out_d, out_s, out_e = [], [], []
-        for lo in range(0, len(docs), 100_000):
-            k, d, f = kind[lo : lo + 100_000], docs[lo : lo + 100_000], firsts[lo : lo + 100_000]
-            n = n_win[k]
-            row = np.repeat(np.arange(len(k)), n)
-            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            gone = least[base[k][row] + off] < d[row]
-            row, off = row[gone], off[gone]
-            fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)]) if len(row) else np.zeros(0, bool)
-            head = np.flatnonzero(fresh)
-            tail = np.append(head[1:], len(row)) - 1
-            out_d.append(d[row[head]])
-            out_s.append(f[row[head]] + off[head])
-            out_e.append(f[row[head]] + off[tail] + length if len(head) else head)
-        spans = np.stack([np.concatenate(out_s), np.concatenate(out_e)], axis=1).astype(np.int64)
-        return pa.Table.from_batches([_by_doc(np.concatenate(out_d), spans, ["doc_id", "spans"])])
+        """Spans to remove of each shard, as far as this bucket knows. Ranges of anchors
+        are compared one after another, so that a bucket may be large."""
+        settled = group.filter(pc.equal(group["n"], 0))
+        shards = settled["shard"].to_pylist()
+        spans = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in settled["settled"]]
+        group = group.filter(pc.greater(group["n"], 0))
+        blobs = []
+        for shard, n, owners, sizes, anchor, raw, many, of, firsts in zip(*(group[c].to_pylist() if c in ("shard", "n", "many") else group[c] for c in ("shard", "n", "owners", "sizes", "anchors", "bytes", "many", "of", "firsts"))):
+            blobs.append((shard, _unplaned(owners.as_buffer(), n), _unplaned(sizes.as_buffer(), n), _wide(anchor.as_buffer()), raw, _unplaned(of.as_buffer(), many), _unplaned(firsts.as_buffer(), many)))
+        rounds = max(1, -(-sum(int(x[2].sum()) for x in blobs) // PIECE))
+        edges = np.linspace(0, 1 << 40, rounds + 1).astype(np.uint64)
+        for low, high in zip(edges[:-1], edges[1:]):
+            parts, texts = [], []
+            for x in blobs:
+                s, e = np.searchsorted(x[3], [low, high])
+                begin = np.concatenate([[0], np.cumsum(x[2])])
+                parts.append((s, e))
+                texts.append(pa.decompress(x[4].as_buffer(), int(begin[-1]), codec="zstd", asbytes=True)[begin[s] : begin[e]])
+            if not any(texts):
+                continue
+            row, start, last = _gone(length, *(np.concatenate([x[i][s:e] for x, (s, e) in zip(blobs, parts)]) for i in (1, 2, 3)), b"".join(texts))
+            done = 0
+            for x, (s, e) in zip(blobs, parts):
+                p, q = np.searchsorted(row, [done, done + e - s])
+                done += e - s
+                if p == q:
+                    continue
+                # Each place of a content has all the content's runs.
+                own, a, z = row[p:q] - (done - (e - s)) + s, start[p:q], last[p:q]
+                lo, hi = np.searchsorted(own, x[5]), np.searchsorted(own, x[5], side="right")
+                n = hi - lo
+                take = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                at = np.repeat(x[6], n)
+                shards.append(x[0])
+                spans.append(np.stack([at + a[take], at + z[take] + length], axis=1))
+        by_shard: dict[int, list] = {}
+        for shard, own in zip(shards, spans):
+            by_shard.setdefault(shard, []).append(own)
+        merged = [merge_spans(np.concatenate(x)) for x in by_shard.values()]
+        return pa.table({"shard": pa.array(list(by_shard), pa.int64()), "n": pa.array([len(m) for m in merged], pa.int64()), "spans": pa.array([_planes(m.ravel()) for m in merged], pa.binary())})
 
     return run
 
@@ -394,20 +454,23 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[head, 0], reach[np.append(head[1:], len(spans)) - 1]], axis=1)
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            sizes, spans, kept = [], [], []
-            for text, blobs in zip(part.column(1), part.column(2)):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                runs = merge_spans(np.frombuffer(b"".join(blobs.as_py() or []), np.int64).reshape(-1, 2)).tolist()
-                ends = [0, *(e for _, e in runs)]
-                kept.append(b"".join(data[a:b] for a, b in zip(ends, [*(s for s, _ in runs), len(data)])))
-                sizes.append(len(data))
-                spans.append([{"start": s, "end": e} for s, e in runs])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+def _cleaned(key: tuple[pa.Scalar, ...], texts: pa.Table, replies: pa.Table) -> pa.Table:
+    texts, _, data, offsets = _shard(texts)
+    spans = [_unplaned(x.as_buffer(), 2 * n).reshape(-1, 2) for x, n in zip(replies["spans"], replies["n"].to_pylist())]
+    runs = np.concatenate([np.zeros((0, 2), np.int64), *spans])
+    runs = merge_spans(runs)
+    doc = np.searchsorted(offsets[1:] + np.arange(1, len(offsets)), runs[:, 0], side="right")
+    runs = runs - doc[:, None]
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, runs[:, 0], 1)
+    np.add.at(edge, runs[:, 1], -1)
+    stays = np.cumsum(edge[:-1]) == 0
+    kept_to = np.concatenate([[0], np.cumsum(stays)])[offsets]
+    many = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
+    local = runs - offsets[doc][:, None]
+    cells = pa.StructArray.from_arrays([pa.array(local[:, 0]), pa.array(local[:, 1])], names=["start", "end"])
+    kept = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(kept_to.astype(np.int64).tobytes()), pa.py_buffer(data[stays].tobytes())])
+    return pa.table({"doc_id": texts["doc_id"], "n_bytes": np.diff(offsets), "spans": pa.ListArray.from_arrays(pa.array(many, pa.int32()), cells), "kept": kept.cast(pa.binary())})
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -417,23 +480,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Spans (start, end) are the maximal runs removed. Strings are judged on the
     input. Texts shorter than `length`, null and empty ones lose nothing; null
     counts as empty. Rows with a null id neither lose nor take bytes. Rows that
-    repeat an id don't remove each other's bytes, and each loses what the union
-    of their removals covers. Kept bytes need not be UTF-8. An empty table gives
-    an empty result; extra columns are ignored. Results do not depend on
-    partitioning.
+    repeat an id don't remove each other's bytes; each is judged by itself. Kept
+    bytes need not be UTF-8. An empty table gives an empty result; extra columns
+    are ignored. Results do not depend on partitioning.
+
+    Documents are dealt to shards of about SHARD_BYTES by a hash of id and text.
+    A shard announces its anchors, sends each of its distinct contents under a
+    shared anchor once, and gets spans back as one blob a bucket; so a passage
+    that any number of documents share costs one content a shard.
     """
-    gram = min(GRAM, length)
-    buckets = 2 * partitions(docs.sparkSession)
+    spark, gram = docs.sparkSession, min(GRAM, length)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = rows.filter("doc_id IS NOT NULL")
-    told = named.mapInArrow(_announced(length, gram, buckets), "bucket int, hashes binary, docs binary")
-    shared = told.groupBy("bucket").applyInArrow(_shared, "doc_id long, hashes binary")
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    dealt = rows.repartition(partitions(docs.sparkSession), "doc_id")
-    # Both joins are outer so that they read one and the same exchange of the texts.
-    contents = dealt.join(wanted, "doc_id", "left").mapInArrow(_contents(length, gram, buckets), "bucket int, n long, docs binary, firsts binary, sizes binary, anchors binary, bytes binary")
-    spans = contents.groupBy("bucket").applyInArrow(_compared(length), "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    return dealt.join(spans, "doc_id", "left").mapInArrow(_cleaned, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(partitions(spark), -(-total // SHARD_BYTES))
+    buckets = max(2 * partitions(spark), -(-total // BUCKET_BYTES))
+    texts = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).repartition(partitions(spark), "shard").select("shard", "doc_id", "text")
+    told = texts.groupBy("shard").applyInArrow(_announced(length, gram, buckets), "bucket int, shard long, hashes binary, several binary")
+    shared = told.groupBy("bucket").applyInArrow(_shared, "shard long, bucket int, bits binary")
+    contents = texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_contents(length, gram, buckets), CONTENTS)
+    spans = contents.groupBy("bucket").applyInArrow(_compared(length), "shard long, n long, spans binary")
+    return texts.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_cleaned, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
