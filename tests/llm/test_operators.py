@@ -1,7 +1,11 @@
 import hashlib
+import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelscope.llm import ann, byte_bpe, chat_format, components, exact_dedup, hpylm, langid, mixing, simhash, suffix_dedup, toxicity
 
@@ -242,12 +246,56 @@ def test_toxicity_tolerates_gaps(spark):
     assert toxicity.train(df, labels.limit(0)).slope == 0.0
 
 
-def test_language_model_is_a_distribution_and_beats_the_base(spark):
-    rows = [(i, ("the cat sat on the mat " * (1 + i % 3)).strip()) for i in range(60)] + [(90, None), (91, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = hpylm.train(df)
-    assert np.allclose((10**model.logs).sum(axis=1), 1, atol=1e-6)
-    got = hpylm.score_documents(df, df["doc_id"] % 5 == 1).collect()
-    assert all(r["score"] > r["base_score"] for r in got if r["doc_id"] < 60) and {r["n_tokens"] for r in got if r["doc_id"] >= 90} == {1}
+def test_language_model_is_a_distribution():
+    rng = np.random.default_rng(3)
+    words = 40
+    customers = rng.integers(0, 5, words).astype(float)
+    tables = np.minimum(customers, 1)
+    parent = (customers - hpylm.TOP_DISCOUNT * tables + (hpylm.TOP_STRENGTH + hpylm.TOP_DISCOUNT * tables.sum()) / words) / (hpylm.TOP_STRENGTH + customers.sum())
+    assert parent.sum() == pytest.approx(1)
+    u = np.repeat(np.arange(6, dtype=np.uint64), words)
+    c = rng.integers(0, 30, 6 * words) * rng.integers(0, 2, 6 * words)
+    c[:words] = 0  # an unseen context has the parent's probabilities
+    p = hpylm.predictive(u, c, np.tile(parent, 6), {}, rng).reshape(6, words)
+    assert np.allclose(p.sum(axis=1), 1) and np.allclose(p[0], parent)
+
+
+@pytest.mark.parametrize("count", [2, 3, 4])
+def test_seating_follows_the_restaurant_law(count):
+    """Numbers of tables against all sequences of openings, by their probabilities."""
+    d, s, others, parent = 0.75, 2.0, 3.0, 0.2
+    states = {1: 1.0}
+    for k in range(1, count):
+        new: dict[int, float] = {}
+        for t, p in states.items():
+            opens = (s + d * (others + t)) * parent
+            share = opens / (opens + k - d * t)
+            new[t + 1] = new.get(t + 1, 0) + p * share
+            new[t] = new.get(t, 0) + p * (1 - share)
+        states = new
+    n = 40_000
+    got = hpylm.seat(np.full(n, count), np.ones(n), np.full(n, others), np.full(n, parent), d, s, np.random.default_rng(4))
+    for t, p in states.items():
+        assert (got == t).mean() == pytest.approx(p, abs=0.01)
+
+
+@pytest.mark.parametrize(("block", "spread"), [(1 << 20, 1000), (40, 2)])
+def test_language_model_scores_every_row(spark, monkeypatch, block, spread):
+    monkeypatch.setattr(hpylm, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(hpylm, "ONE_OF", 1)
+    monkeypatch.setattr(hpylm, "SPREAD", spread)
+    rows = [(i, ("The cat sat on the mat " * (1 + i % 3)).strip() + f" w{i % 7}") for i in range(60)] + [(90, None), (91, ""), (5, "the dog sat"), (5, "the dog sat"), (None, "a cat"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit(1)).withColumn("ids", F.lit(2)).coalesce(2)
+    got = hpylm.score_documents(df, hpylm.fold("doc_id", 5) == 1).collect()
+    assert len(got) == len(rows)
+    words = lambda t: (t or "").lower().split() + [None]
+    fold = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5
+    seen = Counter(w for i, t in rows if fold(i) != 1 for w in words(t))
+    total = sum(seen.values())
+    want = sorted((i is None, i or 0, fold(i) == 1, len(words(t)), sum(seen[w] > 0 for w in words(t)), round(sum(math.log10((seen[w] + 0.5) / (total + 0.5 * (len(seen) + 1))) for w in words(t)), 6)) for i, t in rows)
+    assert want == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got)
+    assert {r["train_tokens"] for r in got} == {total}
+    assert all(r["score"] > r["base_score"] for r in got if r["doc_id"] is not None and r["doc_id"] < 60)
+    assert hpylm.score_documents(df.limit(0), hpylm.fold("doc_id", 5) == 1).count() == 0
     big = b"x" * (hpylm.BLOCK + 5) + b" the cat"
     assert (hpylm.tokens(big)[1:] == hpylm.tokens(b"The  CAT")).all()
