@@ -42,7 +42,7 @@ RADIUS, TURNS, PIVOTS = 4, 3, 8
 #: Slots by which texts are left out before a join, and so the most rows broadcast there.
 SLOTS = 1 << 20
 #: A hash that so many texts have makes them a crowd; crowds are compared in blocks of about BLOCK texts.
-CROWD, BLOCK, NO_CROWD = 64, 128, 0
+CROWD, BLOCK, NO_CROWD = 1024, 512, 0
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
