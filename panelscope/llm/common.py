@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def checkpointed(df: DataFrame, partitioned: bool = False) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it back, so that
     lineage is cut and lost executors cost nothing. A folder of our own is set
@@ -30,12 +45,8 @@ def checkpointed(df: DataFrame, partitioned: bool = False) -> DataFrame:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     if not partitioned:
         return df.checkpoint(eager=True)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
         return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def unused(name: str, *frames: DataFrame) -> str:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, table, unused
+from .common import checkpointed, partitions, settings, table, unused
 from .components import components
 
 SEED = 42
@@ -43,6 +43,8 @@ RADIUS, TURNS, PIVOTS = 4, 3, 8
 SLOTS = 1 << 20
 #: A hash that so many texts have makes them a crowd; crowds are compared in blocks of about BLOCK texts.
 CROWD, BLOCK, NO_CROWD = 1024, 512, 0
+#: Sets of fewer shingles may differ in more bits; pairs of whole texts handed to Python together.
+SMALL, TEXTS = 50, 256
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -445,6 +447,11 @@ def _by_key(batches: list[pa.RecordBatch], halves: int) -> tuple[np.ndarray, ...
     return node, size, fp, np.repeat(edges[:-1], spread), np.repeat(edges[1:], spread), np.repeat(runs[1:], np.diff(runs)), new_part, got["crowd"].to_numpy()[order]
 
 
+def _bound(size: np.ndarray, distance: int) -> np.ndarray:
+    """Differing bits up to which sets of so many shingles are verified: ten fewer for all but small sets."""
+    return np.where(size < SMALL, distance, distance - 10)
+
+
 def _toward_pivots(halves: int, similarity: float, distance: int):
     """Each row's nearest among the first rows of the first PIVOTS parts of its key
     that aren't its own: as many comparisons as rows, times PIVOTS."""
@@ -488,7 +495,7 @@ def _apart(halves: int, similarity: float, distance: int):
             j = np.arange(len(i)) - np.repeat(done[lo:hi] - many[lo:hi] - (done[lo] - many[lo]), many[lo:hi]) + past[i]
             ok = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & ((crowd[i] != crowd[j]) | (crowd[i] == NO_CROWD))
             i, j = i[ok], j[ok]
-            ok = _distance(fp[i], fp[j]) <= distance
+            ok = _distance(fp[i], fp[j]) <= _bound(np.minimum(size[i], size[j]), distance)
             a, b = node[i[ok]], node[j[ok]]
             new = np.zeros(len(a), seen.dtype)
             new["a"], new["b"] = np.maximum(a, b), np.minimum(a, b)
@@ -554,7 +561,7 @@ def _cell(words: int, halves: int, similarity: float, distance: int):
             others = two[two > i] if low == high else two
             ok = (at[others] != at[i]) & (np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]) - 1e-9)
             others = others[ok]
-            others = others[_distance(fp[others], fp[i]) <= distance]
+            others = others[_distance(fp[others], fp[i]) <= _bound(np.minimum(size[others], size[i]), distance)]
             for j in others.tolist():
                 if forest.find(at[i]) == forest.find(at[j]):
                     continue
@@ -596,9 +603,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     to the choice of links: one by one, or, among texts under hashes that very
     many have (a crowd), block against block, so that rows don't grow with the
     square of a group. Pairs of more than `distance` differing bits of all
-    fingerprints are not verified; a similarity of 0.8 is 29 of 192 bits on
-    average (up to 37 for the smallest sets) with a deviation of about five, so
-    one is lost at 64 in less than a case of a million. Texts with equal sets are
+    fingerprints (ten fewer for sets of SMALL shingles or more) are not verified;
+    a similarity of 0.8 is 29 of 192 bits on average (up to 37 for the smallest
+    sets) with a deviation of about five, so one is lost in less than a case of a
+    million. Texts with equal sets are
     one node, named by a 64-bit hash of the set. Rows with a null id take no
     part; null and empty texts have the empty set and are one group. Of rows that
     share an id each has a row here. An empty table gives an empty result; extra
@@ -622,7 +630,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        return checkpointed(verified(pairs, texts, words, similarity))
+        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(TEXTS)}):
+            return checkpointed(verified(pairs, texts, words, similarity))
 
     def placed(some: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Rows with what comparisons need, dealt by hash."""
