@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,25 +90,33 @@ def _valid(vec: str) -> Column:
     return F.expr(f"{vec} IS NOT NULL AND size({vec}) > 0 AND forall({vec}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists({vec}, x -> x <> 0)")
 
 
-def _packed(size: int, dim: int, seed: int, indexed: bool):
+def _packed(size: int, seed: int, indexed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim, seed)
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                ids, x = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(-1, dim)
-                block = (ids, x, *(encode(x, turn) if indexed else ()))
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])], pa.int64()), pa.array([pickle.dumps(block, 5)], pa.binary())], names=["first", "block"])
+        turns: dict[int, np.ndarray] = {}
+        for whole in batches:
+            lengths = pc.list_value_length(whole.column(1))
+            for dim in pc.unique(lengths).to_pylist():
+                batch = whole.filter(pc.equal(lengths, dim))
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    ids, x = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(-1, dim)
+                    if indexed and dim not in turns:
+                        turns[dim] = rotation(dim, seed)
+                    block = (ids, x, *(encode(x, turns[dim]) if indexed else ()))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([int(ids[0])], pa.int64()), pa.array([pickle.dumps(block, 5)], pa.binary())], names=["dim", "first", "block"])
 
     return run
 
 
-def _searched(dim: int, seed: int, k: int):
+def _searched(seed: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim, seed)
+        turns: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, q in zip(batch.column(0), batch.column(1)):
                 ids, x, codes, scalars = pickle.loads(b.as_buffer())
+                if x.shape[1] not in turns:
+                    turns[x.shape[1]] = rotation(x.shape[1], seed)
+                turn = turns[x.shape[1]]
                 rows = list(search_block(ids, x, codes, scalars, *pickle.loads(q.as_buffer()), turn, k))
                 if rows:
                     n = [len(r[1]) for r in rows]
@@ -123,22 +132,19 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
 
     Every row is indexed and every query meets every block of the index, so
     recall falls short only where an error bound fails (a few in ten thousand
-    candidates). Null, zero or non-finite vectors, rows with a null id, and
-    vectors whose length isn't the most frequent one take no part. Repeated
-    rows count each. With fewer than k candidates all are returned. An empty
+    candidates). Null, zero or non-finite vectors and rows with a null id take no
+    part; vectors are compared with those of their own length. Repeated rows
+    count each. With fewer than k candidates all are returned. An empty
     table gives an empty result.
     """
     spark = base.sparkSession
     some = base.filter(_valid(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     ask = queries.filter(_valid(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    sizes = some.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 1
-    some, ask = some.filter(F.size("v") == dim), ask.filter(F.size("v") == dim)
     groups = max(1, partitions(spark))
-    left = some.mapInArrow(_packed(BASE_BLOCK, dim, seed, True), "first long, block binary").select(F.pmod(F.xxhash64("first"), F.lit(groups)).alias("g"), F.col("block").alias("b"))
-    right = ask.mapInArrow(_packed(QUERY_BLOCK, dim, seed, False), "first long, block binary").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.col("block").alias("q"))
-    pairs = left.join(right.hint("shuffle_hash"), "g").select("b", "q")
-    found = pairs.mapInArrow(_searched(dim, seed, k), "query_id long, vec_id long, score double")
+    left = some.mapInArrow(_packed(BASE_BLOCK, seed, True), "dim int, first long, block binary").select("dim", F.pmod(F.xxhash64("first"), F.lit(groups)).alias("g"), F.col("block").alias("b"))
+    right = ask.mapInArrow(_packed(QUERY_BLOCK, seed, False), "dim int, first long, block binary").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.col("block").alias("q"))
+    pairs = left.join(right.hint("shuffle_hash"), ["g", "dim"]).select("b", "q")
+    found = pairs.mapInArrow(_searched(seed, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -119,12 +119,17 @@ def format_turns(turns: DataFrame) -> DataFrame:
     texts of the assistant's turns stand in it (start from 0, length, in code
     points of the escaped text).
 
-    `turns` has conv_id, turn, role, text. Null texts and roles count as empty.
+    `turns` has conv_id, turn, role, text, and perhaps layout, as `canonical_turns`
+    gives them. Rows whose layout is null matched no mapping; they raise an error,
+    as their text would be lost. Null texts and roles count as empty.
     Turns are ordered by turn, nulls first, ties by role and text; repeated rows
     are repeated turns. Line ends in a role are escaped. A conversation is one
     value, so its rows meet in one task; an empty table gives an empty result.
     """
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
+    if "layout" in turns.columns:
+        refused = F.raise_error(F.concat(F.lit("no mapping for a row of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("string")
+        role = F.when(F.col("layout").isNull(), refused).otherwise(role)
     safe_role = F.replace(_escape(role), F.lit("\n"), F.lit("<\\n"))
     head = F.concat(F.lit(START), safe_role, F.lit("\n"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, table, unused
 
 SALTS = 16
 
@@ -90,13 +90,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of `docs` that stay, one per distinct text, with all their
     columns. Among rows that repeat the kept id the choice is arbitrary but the
     rows' texts are equal."""
-    kept = copy_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha")).distinct()
-    unique = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")))
-    if docs.select(id_col).distinct().count() == docs.count():
-        return unique.select(*[docs[c] for c in docs.columns])
-    norm = F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    first = Window.partitionBy("_sha").orderBy(F.lit(1))
-    return unique.filter(norm == F.col("_sha")).withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    own, sha, norm, n = (unused(c, docs) for c in ("exact_id", "exact_sha", "exact_norm", "exact_n"))
+    kept = copy_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).distinct()
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    unique = docs.withColumn(norm, F.sha2(lower, 256)).join(kept, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(norm) == F.col(sha)))
+    first = Window.partitionBy(sha).orderBy(F.lit(1))
+    return unique.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ from .common import checkpointed, fold, table
 
 #: Bounds of the fitted model and of the sample that it is fitted on.
 TRAIN_DOCS_PER_LANG = 4000
-MAX_LANGS = 200
 KNOWN_WORDS, KNOWN_GRAMS = 20_000, 4_000
+#: Words, and n-grams of each size, of all languages together; shared evenly among them.
+ALL_WORDS, ALL_GRAMS = 2_000_000, 400_000
 GRAM_SIZES = (5, 4, 3, 2, 1)
 #: Entries of a worker's memory of unseen words, which is emptied when full.
 MEMO = 200_000
@@ -30,7 +31,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters (Unicode category L); numerals such as ½ or Ⅷ part them."""
+    out = []
+    for w in LETTERS.findall(text.lower()):
+        out += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -106,9 +111,11 @@ class Model:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Fit on rows with a text and a language; of each language at most about
-    TRAIN_DOCS_PER_LANG rows, chosen by a hash of the id."""
+    TRAIN_DOCS_PER_LANG rows, chosen by a hash of the id. No language is left
+    out; the more there are, the fewer words and n-grams of each are known.
+    Repeated rows count each; an empty table gives a model that knows nothing."""
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], [], {n: {} for n in (0, *GRAM_SIZES)})
     langs = sorted(sizes)
@@ -118,7 +125,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     counts = checkpointed(sample.mapInArrow(_counted, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
     totals = {(r["lang"], r["size"]): (r["n"], r["v"]) for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.when(F.col("size") == 0, KNOWN_WORDS).otherwise(KNOWN_GRAMS))
+    top = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.when(F.col("size") == 0, min(KNOWN_WORDS, max(1, ALL_WORDS // len(langs)))).otherwise(min(KNOWN_GRAMS, max(1, ALL_GRAMS // len(langs)))))
     known = top.select("size", "gram").distinct()
     tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *GRAM_SIZES)}
     index = {lang: i for i, lang in enumerate(langs)}
@@ -149,7 +156,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     nothing was learned; a text of letters never met gets the most frequent
     language. score is the posterior share of that language. Repeated rows are
     predicted alike; extra columns are ignored. The model is broadcast; its size
-    is bounded by MAX_LANGS, KNOWN_WORDS and KNOWN_GRAMS.
+    is bounded by KNOWN_WORDS, KNOWN_GRAMS, ALL_WORDS and ALL_GRAMS.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, table
+from .common import checkpointed, table, unused, WORD
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -59,9 +59,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     each document. Its words are then `taken` = times x size.
 
     A null text has size 0, a null source is a source of its own. Each source's
-    taken words differ from its target by at most half of the document in which
-    the budget ends. Rows that repeat both id and text share a hash and are
-    taken alike. An empty table gives an empty result; extra columns are
+    taken words differ from its target by at most half of the rows of the hash in
+    which the budget ends: one document, or all rows that repeat both its id and
+    text, which share a hash and are taken alike. An empty table gives an empty result; extra columns are
     ignored.
     """
     spark = docs.sparkSession
@@ -99,11 +99,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixed rows themselves: each document as often as the mix takes it,
-    so not at all, once or repeatedly, with its own columns."""
-    chosen = mix(docs, id_col, text_col, **options).filter("times > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("times").alias("_times")).distinct()
-    hashed = F.shiftrightunsigned(F.xxhash64(docs[id_col], docs[text_col]), 2)
-    joined = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id")) & (hashed == F.col("_h")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    so not at all, once or repeatedly, with its own columns, whatever their names.
+    Nulls, empty texts, repeated rows and empty tables are as in `mix`."""
+    own, h, times = unused("mix_id", docs), unused("mix_hash", docs), unused("mix_times", docs)
+    copy, told = unused("mix_copy", docs), unused("mix_told", docs)
+    chosen = mix(docs, id_col, text_col, **options).filter("times > 0").select(F.col("doc_id").alias(own), F.col("h").alias(told), F.col("times").alias(times)).distinct()
+    hashed = docs.withColumn(h, F.shiftrightunsigned(F.xxhash64(id_col, text_col), 2))
+    joined = hashed.join(chosen, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(h) == F.col(told)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

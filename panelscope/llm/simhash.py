@@ -369,15 +369,16 @@ def _dealt(shared, words: int, halves: int, similarity: float, buckets: int):
                 h = np.unique(_hashes({*shingles((t or "").encode(), words)}))
                 sign = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
                 if sign not in first:
-                    first[sign] = [len(h), _bits(h, halves), prefix(h, shared.value, similarity), (doc, row), []]
+                    first[sign] = [len(h), _bits(h, halves), prefix(h, shared.value, similarity), (True, None, row), []]
                 own = first[sign]
-                own[3] = min(own[3], (doc, row))
+                if doc is not None:
+                    own[3] = min(own[3], (False, doc, row))
                 own[4].append(doc)
             if not first:
                 continue
             sign, rows = np.fromiter(first, np.int64, len(first)), list(first.values())
             fp = np.array([x[1] for x in rows], np.uint64).reshape(-1, halves)
-            cols = [pa.array(sign), pa.array(sign), pa.array([x[0] for x in rows], pa.int64()), *[pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(halves)], pa.array([x[3][0] for x in rows], pa.int64()), pa.array([x[3][1] for x in rows], pa.int64()), pa.array([x[4] for x in rows], pa.list_(pa.int64()))]
+            cols = [pa.array(sign), pa.array(sign), pa.array([x[0] for x in rows], pa.int64()), *[pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(halves)], pa.array([x[3][1] for x in rows], pa.int64()), pa.array([x[3][2] for x in rows], pa.int64()), pa.array([x[4] for x in rows], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(rows), pa.binary())], names=names)
             key = np.concatenate([x[2] for x in rows])
             of = np.repeat(sign, [len(x[2]) for x in rows])
@@ -607,21 +608,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a similarity of 0.8 is 29 of 192 bits on average (up to 37 for the smallest
     sets) with a deviation of about five, so one is lost in less than a case of a
     million. Texts with equal sets are
-    one node, named by a 64-bit hash of the set. Rows with a null id take no
-    part; null and empty texts have the empty set and are one group. Of rows that
-    share an id each has a row here. An empty table gives an empty result; extra
+    one node, named by a 64-bit hash of the set. A row with a null id belongs to
+    the component of its set if others with an id have that set, or to none
+    (null); null and empty texts have the empty set and are one group. Of rows
+    that share an id each has a row here. An empty table gives an empty result; extra
     columns are ignored.
     """
     spark = docs.sparkSession
     n, bits = partitions(spark), [f"f{i}" for i in range(halves)]
     common = spark.sparkContext.broadcast(common_shingles(docs, text_col, words))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("node"), "text")
     schema = f"deal long, signature long, size long, {', '.join(f'{b} long' for b in bits)}, least long, row long, ids array<long>, blob binary"
     dealt = checkpointed(rows.mapInArrow(_dealt(common, words, halves, similarity, 4 * n), schema).repartition(n, "deal").mapInArrow(_shared_keys, schema))
     sets = dealt.filter("size IS NOT NULL")
     # One row a node, named by its least row, and partitioned by it, as all that follows joins by nodes.
-    nodes = sets.groupBy("signature").agg(F.min(F.struct("least", "row")).alias("m"), *[F.first(c).alias(c) for c in ("size", *bits)]).select("signature", F.col("m.row").alias("node"), F.col("m.least").alias("least"), "size", *bits)
+    nodes = sets.filter("least IS NOT NULL").groupBy("signature").agg(F.min(F.struct("least", "row")).alias("m"), *[F.first(c).alias(c) for c in ("size", *bits)]).select("signature", F.col("m.row").alias("node"), F.col("m.least").alias("least"), "size", *bits)
     nodes = checkpointed(nodes.repartition(n, "node"), partitioned=True)
     shared = dealt.filter("size IS NULL").select(F.col("deal").alias("key"), "signature").join(nodes.select("signature", "node"), "signature").select("key", "node")
     shared = checkpointed(shared.repartition(n, "node"), partitioned=True)
@@ -658,7 +660,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = nodes.select("signature", "node", "least").join(roots, "node")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("signature", "component_id")
     of = nodes.select("signature", "least").join(named, "signature", "left").select("signature", F.coalesce("component_id", "least").alias("component_id"))
-    return sets.select("signature", F.explode("ids").alias("doc_id")).join(of, "signature").select("doc_id", "component_id")
+    return sets.select("signature", F.explode("ids").alias("doc_id")).join(of, "signature", "left").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

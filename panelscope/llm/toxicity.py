@@ -36,6 +36,8 @@ SPELLED = re.compile(r"(?:(?<=\s)|^)\w(?:[\s.\-_*]+\w(?!\w)){2,}")
 #: Words decided together; each length of word costs a fixed time per call.
 AT_ONCE = 50_000
 NOTHING = -1.5
+#: Most weights held as a table of all triples of letters; larger alphabets are searched.
+CELLS = 4_000_000
 
 
 def word_instances(w: str) -> list[str]:
@@ -152,27 +154,40 @@ class Model:
     each subsequence of three characters that occurs in a landmark."""
 
     letters: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((1, 1, 1)))
+    codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = NOTHING
     slope: float = 1.0
     shift: float = 0.0
 
     def raw(self, strings: list[str]) -> np.ndarray:
         """Sum over each instance's weighted subsequences, before its norm."""
-        out = np.zeros(len(strings))
-        flat, n = self.weights.ravel(), len(self.weights)
+        out, n = np.zeros(len(strings)), len(self.letters) + 1
+        if not len(self.codes):
+            return out
+        dense = None
+        if n**ORDER <= CELLS:
+            dense = np.zeros(n**ORDER)
+            dense[self.codes] = self.weights
         for own, c in by_length(strings):
-            if c.shape[1] < ORDER or n == 1:
+            if c.shape[1] < ORDER:
                 continue
             k = np.ascontiguousarray(_triple_codes(c, self.letters).T)
             first, second, total = k * (n * n), k * n, np.zeros(len(c))
             for i, x in combinations(range(c.shape[1]), 2):
                 if x - i > 1:
                     ends = first[i] + k[x]
-                    total += DECAY ** (x - i + 1) * sum(flat[ends + second[j]] for j in range(i + 1, x))
+                    total += DECAY ** (x - i + 1) * sum(self._weight(dense, ends + second[j]) for j in range(i + 1, x))
             out[own] = total
         return out
 
+    def _weight(self, dense: np.ndarray | None, code: np.ndarray) -> np.ndarray:
+        """Weights by code: from a table of all codes where that is small, else by search."""
+        if dense is not None:
+            return dense[code]
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.weights[at], 0.0)
+
     def decide(self, strings: list[str]) -> np.ndarray:
         """Decision value of each instance: sum over its subsequences' weights,
         divided by its norm."""
@@ -189,12 +204,12 @@ class Model:
 def collapse(marks: list[str], beta: np.ndarray, bias: float) -> Model:
     letters = np.unique(np.concatenate([codes([m])[0] for m in marks]))
     n = len(letters) + 1
-    weights = np.zeros((n, n, n))
+    parts = []
     for m, b, norm in zip(marks, beta, norms(marks)):
         k = _triple_codes(codes([m]), letters)[0]
-        for i, j, x, w in triples(len(k)):
-            weights[k[i], k[j], k[x]] += b / norm * w
-    return Model(letters, weights, bias)
+        parts += [((k[i] * n + k[j]) * n + k[x], b / norm * w) for i, j, x, w in triples(len(k))]
+    known, at = np.unique(np.array([p[0] for p in parts], np.int64), return_inverse=True)
+    return Model(letters, known, np.bincount(at, weights=[p[1] for p in parts], minlength=len(known)), bias)
 
 
 def choose_landmarks(strings: list[str], n: int) -> list[str]:
@@ -424,7 +439,9 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that aren't predicted toxic, with all their columns."""
+    """The rows of `docs` that aren't predicted toxic, with all their columns. Null and
+    empty texts have no word and stay unless the model knows no words at all;
+    repeated rows fare alike; an empty table gives an empty one."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

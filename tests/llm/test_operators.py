@@ -106,7 +106,10 @@ def test_near_duplicates_of_odd_rows(docs):
     assert got[2] == 1 and got[4] == 3 and got[6] == 5
 
 
-def test_similar_groups_equal_brute_force(spark):
+@pytest.mark.parametrize(("crowd", "block"), [(1024, 512), (3, 2)])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, crowd, block):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(11)
     texts = ["", "  ", "one two", "one  TWO", "x " * 40, "x " * 41 + "y"]
     for _ in range(30):
@@ -299,3 +302,42 @@ def test_language_model_scores_every_row(spark, monkeypatch, block, spread):
     assert hpylm.score_documents(df.limit(0), hpylm.fold("doc_id", 5) == 1).count() == 0
     big = b"x" * (hpylm.BLOCK + 5) + b" the cat"
     assert (hpylm.tokens(big)[1:] == hpylm.tokens(b"The  CAT")).all()
+
+
+def test_columns_may_have_any_names(spark):
+    names = ["_id", "_times", "_copy", "_kept_id", "_n", "_sha", "_h", "mix_id", "exact_n", "kept_id"]
+    rows = [(i % 4, f"some words that text {i // 2} has and no other one", "a", *[f"{c}{i}" for c in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    for got in (mixing.apply_mix(docs), exact_dedup.deduplicate(docs), simhash.drop_near_duplicates(docs)):
+        assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    for stage in (mixing.apply_mix, exact_dedup.deduplicate, simhash.drop_near_duplicates):
+        assert stage(docs.limit(0)).count() == 0
+
+
+def test_toxicity_of_a_large_alphabet(spark):
+    rng = np.random.default_rng(5)
+    letters = [chr(0x4E00 + i) for i in range(1500)]
+    words = ["".join(letters[k] for k in rng.integers(0, 1500, 5)) for _ in range(300)]
+    rows = [(i, " ".join(words[k] for k in rng.integers(20, 300, 12)) + (" " + words[i % 20] if i % 3 == 0 else "")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, model).collect()}
+    assert sum(got[i] == (i % 3 == 0) for i in got) >= 220
+
+
+def test_letters_are_of_category_l():
+    assert langid.words("½ ² Ⅷ") == [] and langid.words("x²y Été") == ["x", "y", "été"]
+
+
+def test_chat_rows_without_a_mapping_are_refused(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "hello", "be kind")], "conv_id long, turn long, role string, text string, system string")
+    with pytest.raises(Exception, match="no mapping"):
+        chat_format.format_turns(chat_format.canonical_turns(rows)).collect()
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(6)] + [(i, [1.0, float(i), 2.0]) for i in range(6, 10)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(base, base).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {i: 5 if i < 6 else 3 for i in range(10)}
