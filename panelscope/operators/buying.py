@@ -18,10 +18,12 @@ REPEATER_RULES = ("lines", "brand_days_unfloored", "lines_unfloored")
 
 def members(p: Panel, k: int = 2, unit: str = "iso_week") -> DataFrame:
     """card, trial_ts, trial_p, cat_p, rep_p: periods in which a card becomes a trier,
-    category buyer and repeater (its k-th brand line), in one shuffle."""
+    category buyer and repeater (its k-th brand line). Of a card's brand lines only
+    the first k leave a map task, however many it has."""
     rows = p.df.filter(F.col("ts") >= F.lit(p.origin)).filter("is_brand OR is_cat")
-    nth = F.get(F.sort_array(F.collect_list(F.when(F.col("is_brand"), F.col("ts")))), F.lit(k - 1))
-    m = rows.groupBy("card").agg(F.min(F.when(F.col("is_brand"), F.col("ts"))).alias("trial_ts"), F.min(F.when(F.col("is_cat"), F.col("ts"))).alias("cat_ts"), nth.alias("rep_ts"))
+    nth = F.row_number().over(Window.partitionBy("card").orderBy("ts"))
+    rep = rows.filter("is_brand").select("card", "ts", nth.alias("nth")).filter(F.col("nth") <= k).filter(F.col("nth") == k).select("card", F.col("ts").alias("rep_ts"))
+    m = rows.groupBy("card").agg(F.min(F.when(F.col("is_brand"), F.col("ts"))).alias("trial_ts"), F.min(F.when(F.col("is_cat"), F.col("ts"))).alias("cat_ts")).join(rep, "card", "left")
     return m.select("card", "trial_ts", *[period_col(f"{x}_ts", p.origin, unit).alias(f"{x}_p") for x in ("trial", "cat", "rep")])
 
 
@@ -66,7 +68,9 @@ def fixed_panel(p: Panel, unit: str = "iso_week", floor: bool = True) -> DataFra
     rows = p.df.withColumn("trier", F.max(F.when(F.col("is_brand") & (F.col("ts") >= F.lit(p.origin) if floor else F.lit(True)), 1)).over(Window.partitionBy("card")))
     cat = rows.filter(F.col("is_cat") & (F.col("ts") >= F.lit(p.origin)))
     v = cat.groupBy(period_col("ts", p.origin, unit).alias("period")).agg(F.coalesce(F.sum(F.when(F.col("trier") == 1, F.col("qty"))), F.lit(0.0)).alias("sel_sum"), F.sum("qty").alias("all_sum"))
-    n = p.df.filter(F.col("ts") >= F.lit(p.origin)).agg(F.countDistinct(F.when(F.col("is_brand"), F.col("card"))).alias("sel_n"), F.countDistinct(F.when(F.col("is_cat"), F.col("card"))).alias("all_n"))
+    since = F.col("ts") >= F.lit(p.origin)
+    trier = F.col("is_brand") & (since if floor else F.lit(True))
+    n = p.df.agg(F.countDistinct(F.when(trier, F.col("card"))).alias("sel_n"), F.countDistinct(F.when(F.col("is_cat") & since, F.col("card"))).alias("all_n"))
     return v.join(F.broadcast(n), F.lit(True)).select("period", "sel_sum", "sel_n", "all_sum", "all_n", F.try_divide(F.try_divide("sel_sum", "sel_n"), F.try_divide("all_sum", "all_n")).alias("b"))
 
 

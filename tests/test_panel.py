@@ -95,3 +95,15 @@ def test_queries_equal_their_sql(spark, name):
     key = lambda rows: sorted([tuple(None if v is None else float(v) if not isinstance(v, (str, bool)) else v for v in r) for r in rows], key=str)
     for a, b in zip(key(got), key(want), strict=True):
         assert a == pytest.approx(b, abs=2e-5)
+
+
+def test_labels_are_read_and_ordered():
+    from datetime import date
+
+    from panelscope.functions import calendar as c
+
+    assert c.parse_period_label(" 2024-05 ") == date(2024, 5, 1) and c.parse_period_label("2024-W01") == date(2024, 1, 1)
+    assert c.parse_period_label("2024-F03") == date(2024, 1, 15)
+    assert [c.is_period_label(x) for x in ("2024-13", "2024-W60", "24-01", "2024-1", "2024-W5", None, "2024-12")] == [False] * 6 + [True]
+    assert c.label_last_day("2024-02") == date(2024, 2, 29) and c.label_last_day("2024-W01") == date(2024, 1, 7)
+    assert c.label_after("2024-03", date(2024, 2, 29)) and not c.label_after("2024-02", date(2024, 2, 1))
