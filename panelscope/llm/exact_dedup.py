@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table, unused
@@ -89,12 +89,17 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, one per distinct text, with all their
     columns. Among rows that repeat the kept id the choice is arbitrary but the
-    rows' texts are equal."""
-    own, sha, norm, n = (unused(c, docs) for c in ("exact_id", "exact_sha", "exact_norm", "exact_n"))
-    kept = copy_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).distinct()
+    rows' texts are equal. The rows are dealt once, by id and digest together,
+    so that neither a hot text nor the choice among repeats deals them again."""
+    mark, key, n = (unused(c, docs) for c in ("exact_mark", "exact_key", "exact_n"))
+
+    def named(doc_id: Column, sha: Column) -> Column:
+        return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), sha)
+
+    kept = copy_groups(docs, id_col, text_col).filter("kept").select(named(F.col("doc_id"), F.col("text_sha256")).alias(mark)).distinct()
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    unique = docs.withColumn(norm, F.sha2(lower, 256)).join(kept, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(norm) == F.col(sha)))
-    first = Window.partitionBy(sha).orderBy(F.lit(1))
+    unique = docs.withColumn(key, named(F.col(id_col).cast("long"), F.sha2(lower, 256))).join(kept, F.col(key) == F.col(mark))
+    first = Window.partitionBy(key).orderBy(F.lit(1))
     return unique.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).select(*docs.columns)
 
 
