@@ -382,11 +382,12 @@ def _dealt(shared, words: int, halves: int, similarity: float, buckets: int):
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(rows), pa.binary())], names=names)
             key = np.concatenate([x[2] for x in rows])
             of = np.repeat(sign, [len(x[2]) for x in rows])
+            place = np.concatenate([_places(len(x[2])) for x in rows])
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((key, bucket))
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = [(b, order[x:y]) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-            blobs = [_narrow(key[o]) + of[o].tobytes() for _, o in some]
+            blobs = [_narrow(key[o]) + of[o].tobytes() + place[o].tobytes() for _, o in some]
             none = [pa.nulls(len(some), c.type) for c in cols[1:]]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int64()), *none, pa.array(blobs, pa.binary())], names=names)
 
@@ -398,16 +399,21 @@ def _narrow(key: np.ndarray) -> bytes:
     return np.ascontiguousarray(key.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
 
 
-def _widened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 14
+def _places(n: int) -> np.ndarray:
+    """Each hash's place in a prefix of n, in 256ths, rounded down."""
+    return (np.arange(n) * 256 // max(n, 1)).astype(np.uint8)
+
+
+def _widened(blob: bytes) -> tuple[np.ndarray, ...]:
+    n = len(blob) // 15
     out = np.zeros((n, 8), np.uint8)
     out[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(-1, 6)
-    return out.view(np.int64).ravel(), np.frombuffer(blob, np.int64, n, 6 * n)
+    return out.view(np.int64).ravel(), np.frombuffer(blob, np.int64, n, 6 * n), np.frombuffer(blob, np.uint8, n, 14 * n)
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passes sets on; of the hashes in a bucket's blobs those that several signatures
-    have, once for each."""
+    have, once for each, with their least place in `f0`."""
     blobs: dict[int, list] = {}
     schema = None
     for batch in batches:
@@ -419,21 +425,21 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, x in zip(rest.column("deal").to_pylist(), rest.column("blob")):
             blobs.setdefault(b, []).append(_widened(x.as_py()))
     for some in blobs.values():
-        key, own = (np.concatenate([x[i] for x in some]) for i in (0, 1))
-        order = np.lexsort((own, key))
-        key, own = key[order], own[order]
+        key, own, place = (np.concatenate([x[i] for x in some]) for i in (0, 1, 2))
+        order = np.lexsort((place, own, key))
+        key, own, place = key[order], own[order], place[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
-        key, own = key[new], own[new]
+        key, own, place = key[new], own[new], place[new]
         same = key[1:] == key[:-1]
         met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        key, own = key[met], own[met]
+        key, own, place = key[met], own[met], place[met]
         if len(key):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), *[pa.nulls(len(key), f.type) for f in schema][2:]], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.nulls(len(key), schema[2].type), pa.array(place.astype(np.int64)), *[pa.nulls(len(key), f.type) for f in schema][4:]], schema=schema)
 
 
 def _by_key(batches: list[pa.RecordBatch], halves: int) -> tuple[np.ndarray, ...]:
     """Rows by key, part and node; for each row the first row and the end of its key
-    and the end of its part there."""
+    and the end of its part there; then its crowd and place."""
     got = pa.Table.from_batches(batches)
     key, node, part = (got[c].to_numpy() for c in ("key", "node", "part"))
     order = np.lexsort((node, part, key))
@@ -445,7 +451,7 @@ def _by_key(batches: list[pa.RecordBatch], halves: int) -> tuple[np.ndarray, ...
     edges = np.append(np.flatnonzero(new_key), len(key))
     runs = np.append(np.flatnonzero(new_part), len(key))
     spread = np.diff(edges)
-    return node, size, fp, np.repeat(edges[:-1], spread), np.repeat(edges[1:], spread), np.repeat(runs[1:], np.diff(runs)), new_part, got["crowd"].to_numpy()[order]
+    return node, size, fp, np.repeat(edges[:-1], spread), np.repeat(edges[1:], spread), np.repeat(runs[1:], np.diff(runs)), new_part, got["crowd"].to_numpy()[order], got["place"].to_numpy()[order]
 
 
 def _bound(size: np.ndarray, distance: int) -> np.ndarray:
@@ -460,7 +466,7 @@ def _toward_pivots(halves: int, similarity: float, distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (batches := [b for b in batches if b.num_rows]):
             return
-        node, size, fp, start, _, _, new_part, _ = _by_key(batches, halves)
+        node, size, fp, start, _, _, new_part, _, _ = _by_key(batches, halves)
         part_no = np.cumsum(new_part) - 1
         rank = part_no - part_no[start]
         heads = np.flatnonzero(new_part)
@@ -481,12 +487,16 @@ def _toward_pivots(halves: int, similarity: float, distance: int):
 
 def _apart(halves: int, similarity: float, distance: int):
     """All pairs of different parts that share a key and may be similar, in blocks,
-    but for those of one crowd."""
+    but for those of one crowd. Two sets share no more hashes than either has from
+    the place of the first that they share on, so a pair is told only under keys
+    after whose places both have enough left; similar ones have at least their first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (batches := [b for b in batches if b.num_rows]):
             return
-        node, size, fp, _, end, past, _, crowd = _by_key(batches, halves)
+        node, size, fp, _, end, past, _, crowd, place = _by_key(batches, halves)
+        length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+        left = size - (place * length + 255) // 256  # hashes from its place on, or more
         many = end - past
         done = np.cumsum(many)
         lo, seen = 0, np.zeros(0, np.dtype([("a", np.int64), ("b", np.int64)]))
@@ -495,6 +505,7 @@ def _apart(halves: int, similarity: float, distance: int):
             i = np.repeat(np.arange(lo, hi), many[lo:hi])
             j = np.arange(len(i)) - np.repeat(done[lo:hi] - many[lo:hi] - (done[lo] - many[lo]), many[lo:hi]) + past[i]
             ok = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & ((crowd[i] != crowd[j]) | (crowd[i] == NO_CROWD))
+            ok &= np.minimum(left[i], left[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
             i, j = i[ok], j[ok]
             ok = _distance(fp[i], fp[j]) <= _bound(np.minimum(size[i], size[j]), distance)
             a, b = node[i[ok]], node[j[ok]]
@@ -625,7 +636,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # One row a node, named by its least row, and partitioned by it, as all that follows joins by nodes.
     nodes = sets.filter("least IS NOT NULL").groupBy("signature").agg(F.min(F.struct("least", "row")).alias("m"), *[F.first(c).alias(c) for c in ("size", *bits)]).select("signature", F.col("m.row").alias("node"), F.col("m.least").alias("least"), "size", *bits)
     nodes = checkpointed(nodes.repartition(n, "node"), partitioned=True)
-    shared = dealt.filter("size IS NULL").select(F.col("deal").alias("key"), "signature").join(nodes.select("signature", "node"), "signature").select("key", "node")
+    shared = dealt.filter("size IS NULL").select(F.col("deal").alias("key"), "signature", F.col("f0").cast("short").alias("place")).join(nodes.select("signature", "node"), "signature").select("key", "node", "place")
     shared = checkpointed(shared.repartition(n, "node"), partitioned=True)
     many = crowds(shared)
     texts = rows.select("node", "text")
@@ -639,12 +650,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Rows with what comparisons need, dealt by hash."""
         known = some.join(nodes.select("node", "size", *bits), "node").join(many.select("node", "crowd"), "node", "left")
         known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left")
-        return known.select("key", "node", "size", *bits, F.coalesce("root", "node").alias("part"), F.coalesce("crowd", F.lit(NO_CROWD)).alias("crowd")).repartition(n, "key")
+        return known.select("key", "node", "place", "size", *bits, F.coalesce("root", "node").alias("part"), F.coalesce("crowd", F.lit(NO_CROWD)).alias("crowd")).repartition(n, "key")
 
     single = nodes.select("node", "f0")
     near = link_fingerprints(single, search_plans(single, 1, RADIUS), RADIUS)
     first = shared.groupBy("node").agg(*[F.min_by("key", F.xxhash64("key", F.lit(t))).alias(f"k{t}") for t in range(TURNS)])
-    first = first.select("node", F.explode(F.array_distinct(F.array(*[f"k{t}" for t in range(TURNS)]))).alias("key"))
+    first = first.select("node", F.explode(F.array_distinct(F.array(*[f"k{t}" for t in range(TURNS)]))).alias("key"), F.lit(0).cast("short").alias("place"))
     toward = placed(first, None).mapInArrow(_toward_pivots(halves, similarity, distance // 2), "node long, d long, near long")
     toward = toward.groupBy("node").agg(F.min_by("near", F.struct("d", "near")).alias("near"), F.min("near").alias("least"))
     toward = toward.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("near", "least"))).alias("b"))
