@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 #: A text longer than this is cut, always where the pattern must end a match.
 CHUNK = 1 << 16
@@ -93,7 +93,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows, shared, pattern = _prepared(docs, id_col, text_col, path, pattern)
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_encoded(shared, pattern, False), f"doc_id {kind}, n_tokens long, ids array<int>")
+    return rows.mapInArrow(lean(_encoded(shared, pattern, False)), f"doc_id {kind}, n_tokens long, ids array<int>")
 
 
 def _decoded(shared, pattern: str):
@@ -122,7 +122,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids_sha256, decoded_sha256. Edge cases are those of `encode_documents`."""
     rows, shared, pattern = _prepared(docs, id_col, text_col, path, pattern)
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_encoded(shared, pattern, True), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(_encoded(shared, pattern, True)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, settings, table, unused
+from .common import checkpointed, lean, partitions, settings, table, unused
 from .components import components
 
 SEED = 42
@@ -302,7 +302,7 @@ def link_fingerprints(nodes: DataFrame, plans: list, distance: int = 4) -> DataF
         schema = "key long, probe boolean, " + ", ".join(f"{c} long" for c in nodes.columns)
         entries = nodes.mapInArrow(_entries(half, groups, thresholds), schema)
         out = entries if out is None else out.unionByName(entries)
-    return out.repartition(partitions(nodes.sparkSession), "key").mapInArrow(_linked(halves, distance), "a long, b long")
+    return out.repartition(partitions(nodes.sparkSession), "key").mapInArrow(lean(_linked(halves, distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, halves: int = 1) -> DataFrame:
@@ -600,7 +600,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     some = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts)
     one = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("x")), "b")
     both = one.join(some.select(F.col("node").alias("a"), F.col("text").alias("y")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_similar(words, similarity), "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(_similar(words, similarity)), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 64, halves: int = 3) -> DataFrame:
@@ -631,7 +631,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("node"), "text")
     schema = f"deal long, signature long, size long, {', '.join(f'{b} long' for b in bits)}, least long, row long, ids array<long>, blob binary"
-    dealt = checkpointed(rows.mapInArrow(_dealt(common, words, halves, similarity, 4 * n), schema).repartition(n, "deal").mapInArrow(_shared_keys, schema))
+    dealt = checkpointed(rows.mapInArrow(lean(_dealt(common, words, halves, similarity, 4 * n)), schema).repartition(n, "deal").mapInArrow(lean(_shared_keys), schema))
     sets = dealt.filter("size IS NOT NULL")
     # One row a node, named by its least row, and partitioned by it, as all that follows joins by nodes.
     nodes = sets.filter("least IS NOT NULL").groupBy("signature").agg(F.min(F.struct("least", "row")).alias("m"), *[F.first(c).alias(c) for c in ("size", *bits)]).select("signature", F.col("m.row").alias("node"), F.col("m.least").alias("least"), "size", *bits)
@@ -656,12 +656,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = link_fingerprints(single, search_plans(single, 1, RADIUS), RADIUS)
     first = shared.groupBy("node").agg(*[F.min_by("key", F.xxhash64("key", F.lit(t))).alias(f"k{t}") for t in range(TURNS)])
     first = first.select("node", F.explode(F.array_distinct(F.array(*[f"k{t}" for t in range(TURNS)]))).alias("key"), F.lit(0).cast("short").alias("place"))
-    toward = placed(first, None).mapInArrow(_toward_pivots(halves, similarity, distance // 2), "node long, d long, near long")
+    toward = placed(first, None).mapInArrow(lean(_toward_pivots(halves, similarity, distance // 2)), "node long, d long, near long")
     toward = toward.groupBy("node").agg(F.min_by("near", F.struct("d", "near")).alias("near"), F.min("near").alias("least"))
     toward = toward.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("near", "least"))).alias("b"))
     good = checked(near.unionByName(toward))
     roots = components(good)
-    good = good.unionByName(checked(placed(shared, roots).mapInArrow(_apart(halves, similarity, distance), "a long, b long")))
+    good = good.unionByName(checked(placed(shared, roots).mapInArrow(lean(_apart(halves, similarity, distance)), "a long, b long")))
     roots = components(good)
     crowd = many.join(nodes.select("node", "size", *bits), "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
     crowd = crowd.join(texts_of(many, texts).dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold, table
+from .common import checkpointed, fold, lean, table
 
 ORDER, DECAY = 3, 0.75
 #: Longest instance; longer words are cut into overlapping windows of this length.
@@ -29,7 +29,7 @@ WINDOW = 22
 TOXIC_DOCS, CLEAN_DOCS = 1500, 9000
 POSITIVES, NEGATIVES, LANDMARKS, ROUNDS = 1500, 4000, 160, 3
 #: Entries of a worker's memory of word scores, which is emptied when full.
-MEMO = 300_000
+MEMO = 150_000
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 GAPS = re.compile(r"[\s.\-_*]+")
 SPELLED = re.compile(r"(?:(?<=\s)|^)\w(?:[\s.\-_*]+\w(?!\w)){2,}")
@@ -295,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     share = F.when(F.col("toxic") == 1, TOXIC_DOCS / sizes[1]).otherwise(CLEAN_DOCS / sizes[0])
     some = truth.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30) < share)
     rows = F.broadcast(some).join(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL"), "_id").select("toxic", "text")
-    bags = checkpointed(rows.mapInArrow(_bags, "toxic int, words array<string>").distinct())
+    bags = checkpointed(rows.mapInArrow(lean(_bags), "toxic int, words array<string>").distinct())
     drawn = bags.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     base = (drawn["t"] or 0) / max(drawn["n"], 1)
     words = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
@@ -313,14 +313,14 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         return Model(shift=math.log((sizes[1] + 0.5) / (sizes[0] + 0.5)), slope=0.0)
     model = fit(positives, negatives)
     for _ in range(ROUNDS):
-        seen = checkpointed(bags.mapInArrow(_worst(spark.sparkContext.broadcast(model)), "toxic int, f double, word string"))
+        seen = checkpointed(bags.mapInArrow(lean(_worst(spark.sparkContext.broadcast(model))), "toxic int, f double, word string"))
         # Where the machine errs on a clean bag, its worst word is a negative; a toxic bag's worst word is its witness.
         hard = {r["word"] for r in seen.filter("toxic = 0 AND f > -0.5 AND word IS NOT NULL").groupBy("word").agg(F.max("f").alias("f")).orderBy(F.desc("f"), "word").limit(NEGATIVES // 2).collect()}
         positives = {w: n for w, n in _counts(seen.filter("toxic = 1 AND word IS NOT NULL")).items() if w not in hard} or positives
         negatives = sorted(({*negatives} | hard) - set(positives))
         model = fit(positives, negatives)
     shared = spark.sparkContext.broadcast(model)
-    seen = bags.mapInArrow(_worst(shared), "toxic int, f double, word string").select("toxic", "f").toPandas()
+    seen = bags.mapInArrow(lean(_worst(shared)), "toxic int, f double, word string").select("toxic", "f").toPandas()
     model.slope, model.shift = calibrate(seen["f"].to_numpy(), seen["toxic"].to_numpy())
     return model
 
@@ -430,7 +430,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(_scored(shared), f"doc_id {kind}, score double")
+    scored = rows.mapInArrow(lean(_scored(shared)), f"doc_id {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -450,7 +450,7 @@ def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             mask = [s < 0.5 for b in _scored(shared)(iter([two])) for s in b.column(1).to_pylist()]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
