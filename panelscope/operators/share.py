@@ -50,10 +50,14 @@ def with_total(cohorts: DataFrame) -> DataFrame:
     return cohorts.unionByName(total)
 
 
-def predictions(p: Panel, window_days: int | None = None, base: str = "triers", unit: str = "iso_week", **clock) -> DataFrame:
-    """One row: trial_index, k, rbr (furthest), buying_index, simple and projected share."""
+def predictions(p: Panel, window_days: int | None = None, base: str = "triers", unit: str = "iso_week", stable_from: int | None = None, **clock) -> DataFrame:
+    """One row: trial_index, k, rbr, buying_index, simple and projected share. The rate
+    is the mean from interval `stable_from` on, or the furthest where there is none."""
     b = buying.scopes(p, window_days).filter(F.col("scope") == f"__{base}__").agg(F.coalesce(F.max("b"), F.lit(1.0)).alias("buying_index"))
-    r = rbr.furthest(rbr.rates(p, **clock)).select("rbr")
+    curve = rbr.rates(p, **clock)
+    r = rbr.furthest(curve).select("rbr")
+    if stable_from is not None:
+        r = r.join(rbr.stable_mean(curve, stable_from).select(F.col("rbr").alias("mean")), F.lit(True)).select(F.coalesce("mean", "rbr").alias("rbr"))
     series = penetration.penetration(p, unit).select(F.col("period").alias("t"), F.col("penetration").alias("p"))
     row = penetration.snapshot(p).select("trial_index").join(fit.fit(series).select("k"), F.lit(True)).join(r, F.lit(True)).join(b, F.lit(True))
     return row.withColumns({"simple_share": F.col("trial_index") * F.col("rbr") * F.col("buying_index"), "projected_share": F.col("k") * F.col("rbr") * F.col("buying_index")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.fit import FEW, FLAT, LOW, RISING
+
 ORIGIN, ANALYSIS = "1995-01-01", "2000-12-31"
 _O = f"DATE '{ORIGIN}'"
 
@@ -106,7 +108,8 @@ firsts AS (SELECT card, min(ts) FILTER (is_brand) AS fb, min(ts) FILTER (is_cat)
 trials AS (SELECT card, fb AS trial FROM firsts WHERE fb IS NOT NULL),{','.join(_series('pen_' + u, u) for u in ('week', 'fortnight', 'month', 'iso_week', 'iso_fortnight', 'fiscal_445'))},
 monthly AS (SELECT period AS t, n_brand / n_cat AS p FROM pen_month),{fit_sql('fit_d', 'monthly')},{fit_sql('fit_o', 'monthly', ols=True)},
 smooth AS (SELECT t, avg(p) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS p FROM monthly),{fit_sql('fit_s', 'smooth')},
-cut AS (SELECT c.t AS cutoff, m.t, m.p FROM monthly c JOIN monthly m ON m.t <= c.t WHERE c.t >= 6),{fit_sql('fit_c', 'cut', 'cutoff')},{_segments('seg', 'monthly')},
+cut AS (SELECT c.t AS cutoff, m.t, m.p FROM monthly c JOIN monthly m ON m.t <= c.t WHERE c.t >= 6),{fit_sql('fit_c', 'cut', 'cutoff')},{_segments('seg', 'monthly')},{_segments('segc', 'cut', 'cutoff')},
+prefixes AS (SELECT c.t AS cutoff, m.t, m.p FROM monthly c JOIN monthly m ON m.t <= c.t),{fit_sql('fit_g', 'prefixes', 'cutoff')},
 train AS (SELECT t, p FROM monthly WHERE t <= {CUTOFF}),{fit_sql('fit_t', 'train')},
 weekly AS (SELECT period AS t, n_brand / n_cat AS p FROM pen_iso_week),{fit_sql('fit_w', 'weekly')},{_clock('exact', "CAST(ceil(date_diff('day', t.trial, l.ts) / 28.0) AS BIGINT)", f"date_diff('day', trial, DATE '{ANALYSIS}') // 28")},{_clock('part', f"{_ISO('l.ts')} - {_ISO('t.trial')}", f"{_ISO(f"DATE '{ANALYSIS}'")} - {_ISO('trial')}")},{_clock('full_', f"{_ISO('l.ts')} - {_ISO('t.trial')}", f"{_ISO(f"(DATE '{ANALYSIS}' + 1)")} - 1 - {_ISO('trial')}")},
 cohort_rbr AS (SELECT {_COHORT} AS cohort, interval, sum(CASE WHEN is_brand THEN qty ELSE 0 END) AS brand_qty, sum(CASE WHEN is_cat THEN qty ELSE 0 END) AS cat_qty FROM exact_ok GROUP BY 1, 2),
@@ -186,9 +189,33 @@ SQL: dict[str, str] = {f"penetration_{u}": _pen(u) for u in ("week", "fortnight"
     "cohort_table": "SELECT CAST(ord AS INTEGER) AS ord, cohort, round(penetration, 6) AS penetration, round(rbr, 6) AS rbr, round(buying_index, 6) AS buying_index, n_triers, round(coalesce(penetration * rbr * buying_index, 0), 6) AS contribution FROM table3",
     "segmented_share": "SELECT round(sum(coalesce(penetration * rbr * buying_index, 0)), 6) AS segmented_share, round(sum(penetration * rbr) / sum(penetration) FILTER (rbr IS NOT NULL), 6) AS blended_rbr FROM table3",
     "predictions": "SELECT round(i, 6) AS trial_index, round(k, 6) AS k, round(rbr, 6) AS rbr, round(b, 6) AS buying_index, round(i * rbr * b, 6) AS simple_share, round(k * rbr * b, 6) AS projected_share FROM (SELECT count(fb) / count(fc) AS i FROM firsts), (SELECT k FROM fit_w), (SELECT arg_max(rbr, interval) AS rbr FROM exact WHERE rbr IS NOT NULL), (SELECT b FROM scopes WHERE scope = '__triers__')",
+    "piecewise_stability": "SELECT u.cutoff, round(m.p, 6) AS observed_p, round(u.k, 6) AS k, round(u.a, 6) AS a, u.n AS n_segments_fitted FROM (SELECT cutoff, arg_max(ceiling, t0) FILTER (ceiling IS NOT NULL) AS k, arg_max(a, t0) FILTER (ceiling IS NOT NULL) AS a, count(ceiling) AS n FROM segc GROUP BY cutoff) u JOIN monthly m ON m.t = u.cutoff",
+    "predictions_stable": "SELECT round(i, 6) AS trial_index, round(k, 6) AS k, round(rbr, 6) AS rbr, round(b, 6) AS buying_index, round(i * rbr * b, 6) AS simple_share, round(k * rbr * b, 6) AS projected_share FROM (SELECT count(fb) / count(fc) AS i FROM firsts), (SELECT k FROM fit_w), (SELECT coalesce(avg(rbr) FILTER (interval >= 10), arg_max(rbr, interval) FILTER (rbr IS NOT NULL)) AS rbr FROM exact), (SELECT b FROM scopes WHERE scope = '__triers__')",
+    "stability_notes": f"SELECT cutoff, n_points, CASE WHEN n_points < 4 OR coalesce(n_inner, 0) < 1 THEN '{FEW}' WHEN slope IS NULL THEN '{FLAT}' WHEN slope >= 0 THEN '{RISING}' WHEN -level / slope < top THEN '{LOW}' ELSE '' END AS note FROM fit_g_c",
+    "month_ordinals": "SELECT strftime(ts, '%Y-%m') AS label, min(ts) AS first_day, row_number() OVER (ORDER BY min(ts)) AS ordinal FROM panel GROUP BY 1",
+    "fiscal_starts": f"SELECT period, CAST(date_trunc('week', make_date(CAST(i // 12 AS BIGINT), 1, 4)) AS DATE) + CAST(7 * (13 * ((i % 12) // 3) + 4 * (i % 3)) AS INTEGER) AS first_day FROM (SELECT period, period - 1 + {_index(_O, 'fiscal_445')} AS i FROM pen_fiscal_445)",
+    "chart_penetration": f"SELECT g.t, {_label('g.t', 'month')} AS label, round(m.p, 6) AS p, round(CASE WHEN g.t >= last THEN k * (1 - exp(-a * g.t)) END, 6) AS p_projected, round(k, 6) AS ultimate FROM (SELECT a, k, last, unnest(generate_series(1, CAST(CASE WHEN k IS NULL THEN last ELSE greatest(least(greatest(ceil(ln(100.0) / a), last), last + 12), last + 3) END AS BIGINT))) AS t FROM fit_d, (SELECT max(t) AS last FROM monthly)) g LEFT JOIN monthly m ON m.t = g.t",
+    "chart_promo": "SELECT m.t, round(m.p, 6) AS p, round(b.k * (1 - exp(-b.a * m.t)), 6) AS baseline, round(f.k * (1 - exp(-f.a * m.t)), 6) AS refit FROM monthly m, fit_t b, fit_d f",
+    "chart_bought": f"SELECT promo, t, round(p, 6) AS p, round(b, 6) AS baseline, round(p - b, 6) AS gap FROM (SELECT x.promo, m.t, m.p, s.base + s.k_inc * (1 - exp(-s.a * (m.t - s.t0))) AS b FROM (SELECT 0 AS t0, {PROMOS[0]} AS promo UNION ALL SELECT {PROMOS[0]}, {PROMOS[1]}) x JOIN seg s ON s.t0 = x.t0 JOIN monthly m ON m.t BETWEEN x.promo AND x.promo + 1 WHERE s.a IS NOT NULL AND x.promo < (SELECT max(t) FROM monthly))",
+    "chart_increments": "SELECT d.t, round(d.p, 6) AS p, round(d.dp, 6) AS dp, round(f.a * (f.k - d.p), 6) AS line FROM fit_d_d d, fit_d f",
+    "chart_ticks": f"SELECT period, {_label('period', 'month')} AS label FROM (SELECT period, row_number() OVER (ORDER BY period) - 1 AS pos, count(*) OVER () AS n FROM pen_month) WHERE pos % CAST(ceil(n / 13.0) AS BIGINT) = 0",
+    "chart_dashboard": "SELECT 'penetration' AS series, t AS x, round(p, 6) AS y FROM monthly WHERE p IS NOT NULL UNION ALL SELECT 'rbr', interval, round(rbr, 6) FROM exact WHERE rbr IS NOT NULL UNION ALL SELECT 'share', period, round(brand_qty / nullif(cat_qty, 0), 6) FROM share_month WHERE cat_qty <> 0",
     "share_by_interval": "SELECT CAST(interval AS BIGINT) AS interval, round(i * rbr * b, 6) AS predicted_share FROM exact, (SELECT count(fb) / count(fc) AS i FROM firsts), (SELECT b FROM scopes WHERE scope = '__triers__')",
 }
 
 
+_EVENT_WEEK = "CAST(floor(date_diff('day', DATE '1970-01-05', {}) / 7.0) AS BIGINT)"
+EVENTS_PRELUDE = f"""WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS card, CAST(ts AS DATE) AS ts, event_type = 'purchase' AS is_brand, event_type IN ('purchase', 'click', 'view') AS is_cat, value AS qty FROM events WHERE user_id IS NOT NULL),
+o AS (SELECT min(ts) FILTER (is_brand) AS origin FROM ev),
+since AS (SELECT ev.*, origin FROM ev, o WHERE ts >= origin),
+firsts AS (SELECT min(ts) FILTER (is_brand) AS fb, min(ts) FILTER (is_cat) AS fc, first(origin) AS origin FROM since WHERE is_brand OR is_cat GROUP BY card),
+new AS (SELECT period, sum(b) AS b, sum(c) AS c FROM (SELECT {_EVENT_WEEK.format('fb')} - {_EVENT_WEEK.format('origin')} + 1 AS period, 1 AS b, 0 AS c FROM firsts WHERE fb IS NOT NULL UNION ALL SELECT {_EVENT_WEEK.format('fc')} - {_EVENT_WEEK.format('origin')} + 1, 0, 1 FROM firsts WHERE fc IS NOT NULL) GROUP BY period)
+"""
+EVENTS_SQL = {
+    "events_penetration_iso_week": f"SELECT period, strftime(DATE '1970-01-05' + CAST(7 * ({_EVENT_WEEK.format('origin')} + period - 1) AS INTEGER), '%G-W%V') AS label, n_brand, n_cat, round(n_brand / n_cat, 6) AS penetration FROM (SELECT s.period, CAST(sum(coalesce(b, 0)) OVER w AS BIGINT) AS n_brand, CAST(sum(coalesce(c, 0)) OVER w AS BIGINT) AS n_cat FROM (SELECT unnest(generate_series(1, (SELECT max(period) FROM new))) AS period) s LEFT JOIN new n ON n.period = s.period WINDOW w AS (ORDER BY s.period ROWS UNBOUNDED PRECEDING)), o WHERE n_cat > 0",
+    "events_share_by_period": "SELECT (year(ts) * 12 + month(ts)) - (year(origin) * 12 + month(origin)) + 1 AS period, strftime(ts, '%Y-%m') AS label, round(sum(CASE WHEN is_brand THEN qty ELSE 0 END), 6) AS brand_qty, round(sum(CASE WHEN is_cat THEN qty ELSE 0 END), 6) AS cat_qty, round(sum(CASE WHEN is_brand THEN qty ELSE 0 END) / nullif(sum(CASE WHEN is_cat THEN qty ELSE 0 END), 0), 6) AS share FROM since GROUP BY 1, 2",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: PRELUDE + sql for name, sql in SQL.items()}
+    return {name: PRELUDE + sql for name, sql in SQL.items()} | {name: EVENTS_PRELUDE + sql for name, sql in EVENTS_SQL.items()}

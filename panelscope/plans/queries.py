@@ -8,8 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import UNITS, date_dimension
-from ..operators import buying, fit, penetration, rbr, share
+from ..functions.calendar import UNITS, bucket_start_col, date_dimension, dense_ordinal
+from ..operators import buying, charts, fit, penetration, rbr, share
 from ..sources.panel import Panel, collapse, events_panel, orders_panel
 from .oracle import ANALYSIS, CUTOFF, ORIGIN, PROMOS
 
@@ -39,6 +39,10 @@ def _total(p: Panel) -> DataFrame:
     return t.select(F.col("contribution").alias("segmented_share"), F.col("rbr").alias("blended_rbr"))
 
 
+def _dashboard(p: Panel) -> DataFrame:
+    return charts.lines({"penetration": (_series(p), "t", "p"), "rbr": (rbr.rates(p), "interval", "rbr"), "share": (share.share(p), "period", "share")})
+
+
 QUERIES: dict[str, Query] = {f"penetration_{u}": (lambda p, u=u: penetration.penetration(p, u)) for u in UNITS} | {
     "penetration_static": lambda p: penetration.penetration(p, "month", "static"),
     "entrants": lambda p: penetration.entrants(p, "month"),
@@ -87,14 +91,24 @@ QUERIES: dict[str, Query] = {f"penetration_{u}": (lambda p, u=u: penetration.pen
     "cohort_table": lambda p: share.cohort_table(p, WINDOW_DAYS),
     "segmented_share": _total,
     "predictions": lambda p: share.predictions(p, WINDOW_DAYS),
+    "predictions_stable": lambda p: share.predictions(p, WINDOW_DAYS, stable_from=10),
+    "stability_notes": lambda p: fit.stability(_series(p), 1).select("cutoff", "n_points", "note"),
+    "month_ordinals": lambda p: dense_ordinal(p.df.withColumn("label", F.date_format("ts", "yyyy-MM"))),
+    "fiscal_starts": lambda p: penetration.penetration(p, "fiscal_445").select("period", bucket_start_col(F.col("period"), p.origin, "fiscal_445").alias("first_day")),
+    "chart_penetration": lambda p: charts.curve(_series(p), p.origin, "month"),
+    "chart_promo": lambda p: charts.promo(_series(p), CUTOFF),
+    "chart_bought": lambda p: charts.bought(_series(p), list(PROMOS), "month"),
+    "chart_increments": lambda p: charts.increments(_series(p)),
+    "chart_ticks": lambda p: charts.ticks(penetration.penetration(p, "month").select("period", "label")),
+    "chart_dashboard": _dashboard,
     "share_by_interval": lambda p: share.share_by_interval(p, WINDOW_DAYS),
 }
 #: Columns that are exact although they are doubles.
 EXACT = {"qty", "brand_qty", "cat_qty", "cat_qty_triers", "cat_qty_repeaters", "sum_cat", "sel_sum", "all_sum"}
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in EXACT else F.col(c) for c, t in df.dtypes])
+def _rounded(df: DataFrame, exact: set[str] = EXACT) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in df.dtypes])
 
 
 def on_orders(query: Query) -> Callable[[SparkSession, str], DataFrame]:
@@ -102,7 +116,7 @@ def on_orders(query: Query) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def on_events(query: Query) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _rounded(query(events_panel(spark, sf_dir)))
+    return lambda spark, sf_dir: _rounded(query(events_panel(spark, sf_dir)), set())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
