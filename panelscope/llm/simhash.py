@@ -37,8 +37,9 @@ COMMON_SAMPLE, COMMON = 8000, 3
 COMMON_MOST = 200_000
 #: Pairs compared at once; each takes over 100 bytes.
 PAIRS = 200_000
-#: Of the search for similar texts: bits of the pigeonhole search, hashes by which a text first meets pivots, and pivots of a hash.
-RADIUS, TURNS, PIVOTS = 4, 3, 8
+#: Of the search for similar texts: bits of the pigeonhole search, hashes by which a text first meets pivots, pivots of a hash,
+#: and rounds in which the parts left meet pivots under all their hashes.
+RADIUS, TURNS, PIVOTS, ROUNDS = 4, 3, 8, 1
 #: Slots by which texts are left out before a join, and so the most rows broadcast there.
 SLOTS = 1 << 20
 #: A hash that so many texts have makes them a crowd; crowds are compared in blocks of about BLOCK texts.
@@ -611,7 +612,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits finds every pair at 0.8, all other pairs meet by the prefixes of their
     sets, which two such sets cannot but share. At first each text is verified
     only against the nearest pivot that it meets under a few of its hashes, which
-    contracts groups cheaply. Then all pairs between the parts left are verified, so none is lost
+    contracts groups cheaply; the parts left do so once more under all their hashes. Then all pairs between the parts left are verified, so none is lost
     to the choice of links: one by one, or, among texts under hashes that very
     many have (a crowd), block against block, so that rows don't grow with the
     square of a group. Pairs of more than `distance` differing bits of all
@@ -656,11 +657,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = link_fingerprints(single, search_plans(single, 1, RADIUS), RADIUS)
     first = shared.groupBy("node").agg(*[F.min_by("key", F.xxhash64("key", F.lit(t))).alias(f"k{t}") for t in range(TURNS)])
     first = first.select("node", F.explode(F.array_distinct(F.array(*[f"k{t}" for t in range(TURNS)]))).alias("key"), F.lit(0).cast("short").alias("place"))
-    toward = placed(first, None).mapInArrow(lean(_toward_pivots(halves, similarity, distance // 2)), "node long, d long, near long")
-    toward = toward.groupBy("node").agg(F.min_by("near", F.struct("d", "near")).alias("near"), F.min("near").alias("least"))
-    toward = toward.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("near", "least"))).alias("b"))
-    good = checked(near.unionByName(toward))
+
+    def toward(some: DataFrame, roots: DataFrame | None, most: int) -> DataFrame:
+        """For each node the nearest pivot of another part that it meets, and the least: two pairs a node at most."""
+        met = placed(some, roots).mapInArrow(lean(_toward_pivots(halves, similarity, most)), "node long, d long, near long")
+        met = met.groupBy("node").agg(F.min_by("near", F.struct("d", "near")).alias("near"), F.min("near").alias("least"))
+        return met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("near", "least"))).alias("b"))
+
+    good = checked(near.unionByName(toward(first, None, distance // 2)))
     roots = components(good)
+    for _ in range(ROUNDS):  # joins most parts of a group, whose members would else all meet one by one below
+        good = good.unionByName(checked(toward(shared, roots, distance - 10)))
+        roots = components(good)
     good = good.unionByName(checked(placed(shared, roots).mapInArrow(lean(_apart(halves, similarity, distance)), "a long, b long")))
     roots = components(good)
     crowd = many.join(nodes.select("node", "size", *bits), "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
