@@ -67,16 +67,17 @@ def _last(trial: Column, p: Panel, mode: str, days: int, unit: str, partial: boo
 
 
 def trial_lines(p: Panel, mode: str = "exact", days: int = 28, unit: str = "iso_week", partial: bool = False, floor: bool = True) -> DataFrame:
-    """The log with each trier's trial date, interval and last interval: one window
-    over cards, so the log is read and shuffled once."""
+    """The log with each trier's trial date, interval and last interval, by one window
+    over cards."""
     brand = F.col("is_brand") & (F.col("ts") >= F.lit(p.origin)) if floor else F.col("is_brand")
     rows = p.df.withColumn("trial_ts", F.min(F.when(brand, F.col("ts"))).over(Window.partitionBy("card"))).filter("trial_ts IS NOT NULL")
     return rows.withColumns({"interval": _interval(F.col("ts"), F.col("trial_ts"), mode, days, unit, p.origin).cast("long"), "last_interval": _last(F.col("trial_ts"), p, mode, days, unit, partial).cast("long")})
 
 
-def eligibility(p: Panel, cap: int | None = None, **clock) -> DataFrame:
-    """interval, n_eligible: cards whose data reach an interval, on a gap-free axis."""
-    cards = trial_lines(p, **clock).filter(F.col("is_brand") & (F.col("ts") == F.col("trial_ts"))).select("card", "last_interval").distinct()
+def eligibility(p: Panel, cap: int | None = None, mode: str = "exact", days: int = 28, unit: str = "iso_week", partial: bool = False, floor: bool = True) -> DataFrame:
+    """interval, n_eligible: cards whose data reach an interval, on a gap-free axis.
+    Only trial dates are shuffled, one row per card and map task, never the log."""
+    cards = trials(p, floor).select(_last(F.col("trial_ts"), p, mode, days, unit, partial).cast("long").alias("last_interval"))
     spread = cards.groupBy("last_interval").agg(F.count("*").alias("n"))
     spine = spread.agg(F.max("last_interval").alias("m")).filter("m >= 1").select(F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("interval"))
     joined = spine.join(spread, F.col("interval") == F.col("last_interval"), "left")
