@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -66,6 +67,12 @@ def checkpointed(df: DataFrame, partitioned: bool = False) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, on which Spark removes shuffle files of frames that are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has, whatever its case."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean, partitions, settings, table, unused
+from .common import checkpointed, lean, partitions, settings, table, tidied, unused
 from .components import components
 
 SEED = 42
@@ -42,8 +42,9 @@ PAIRS = 200_000
 RADIUS, TURNS, PIVOTS, ROUNDS = 4, 3, 8, 1
 #: Slots by which texts are left out before a join, and so the most rows broadcast there.
 SLOTS = 1 << 20
-#: A hash that so many texts have makes them a crowd; crowds are compared in blocks of about BLOCK texts.
-CROWD, BLOCK, NO_CROWD = 1024, 512, 0
+#: A hash that so many texts have makes them a crowd; crowds and other groups are compared in blocks
+#: of about BLOCK texts, fewer if these have more than BLOCK_SHINGLES.
+CROWD, BLOCK, BLOCK_SHINGLES, NO_CROWD = 1024, 512, 1 << 20, 0
 #: Sets of fewer shingles may differ in more bits; pairs of whole texts handed to Python together.
 SMALL, TEXTS = 50, 256
 
@@ -212,6 +213,11 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
             self.edges.append((i, j))
 
+    def roots(self) -> np.ndarray:
+        while (up := self.up[self.up]).tobytes() != self.up.tobytes():
+            self.up = up
+        return self.up
+
 
 def _link_run(forest: _Forest, idx: np.ndarray, probes: np.ndarray, node: np.ndarray, fp: np.ndarray, distance: int) -> None:
     """All links between a key's indexed rows and its probes, as forest edges.
@@ -487,10 +493,12 @@ def _toward_pivots(halves: int, similarity: float, distance: int):
 
 
 def _apart(halves: int, similarity: float, distance: int):
-    """All pairs of different parts that share a key and may be similar, in blocks,
-    but for those of one crowd. Two sets share no more hashes than either has from
-    the place of the first that they share on, so a pair is told only under keys
-    after whose places both have enough left; similar ones have at least their first."""
+    """Pairs of different parts that share a key and may be similar, but for those of
+    one crowd: of a task's pairs as many as connect what all of them connect, so that
+    rows don't grow with the square of a group. Two sets share no more hashes than
+    either has from the place of the first that they share on, so a pair counts only
+    under keys after whose places both have enough left; similar ones have at least
+    their first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (batches := [b for b in batches if b.num_rows]):
@@ -500,23 +508,25 @@ def _apart(halves: int, similarity: float, distance: int):
         left = size - (place * length + 255) // 256  # hashes from its place on, or more
         many = end - past
         done = np.cumsum(many)
-        lo, seen = 0, np.zeros(0, np.dtype([("a", np.int64), ("b", np.int64)]))
+        ids, own = np.unique(node, return_inverse=True)
+        forest, lo = _Forest(len(ids)), 0
         while lo < len(node):
             hi = max(lo + 1, int(np.searchsorted(done, done[lo] - many[lo] + PAIRS, "right")))
             i = np.repeat(np.arange(lo, hi), many[lo:hi])
             j = np.arange(len(i)) - np.repeat(done[lo:hi] - many[lo:hi] - (done[lo] - many[lo]), many[lo:hi]) + past[i]
-            ok = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & ((crowd[i] != crowd[j]) | (crowd[i] == NO_CROWD))
+            root = forest.roots()[own]
+            ok = (root[i] != root[j]) & ((crowd[i] != crowd[j]) | (crowd[i] == NO_CROWD))
+            i, j = i[ok], j[ok]
+            ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
             ok &= np.minimum(left[i], left[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
             i, j = i[ok], j[ok]
             ok = _distance(fp[i], fp[j]) <= _bound(np.minimum(size[i], size[j]), distance)
-            a, b = node[i[ok]], node[j[ok]]
-            new = np.zeros(len(a), seen.dtype)
-            new["a"], new["b"] = np.maximum(a, b), np.minimum(a, b)
-            seen = np.unique(np.concatenate([seen, new]))
+            for x, y in zip(own[i[ok]].tolist(), own[j[ok]].tolist()):
+                forest.link(x, y)
             lo = hi
-            if len(seen) > PAIRS or lo >= len(node):  # a pair may be told again; the reader makes pairs distinct
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(seen["a"])), pa.array(np.ascontiguousarray(seen["b"]))], names=["a", "b"])
-                seen = seen[:0]
+        if forest.edges:
+            ends = ids[np.array(forest.edges)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], names=["a", "b"])
 
     return run
 
@@ -542,46 +552,47 @@ def _similar(words: int, similarity: float):
 
 
 def crowds(shared: DataFrame) -> DataFrame:
-    """node, crowd, blocks: nodes under hashes that CROWD nodes or more have, with the
-    crowd that such hashes connect and the number of blocks of about BLOCK nodes in it."""
+    """node, crowd: nodes under hashes that CROWD nodes or more have, with the crowd
+    that such hashes connect."""
     keys = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter(F.col("n") >= CROWD).select("key", "first")
-    of = components(shared.join(keys, "key").select("node", "first")).select("node", F.col("root").alias("crowd"))
-    sizes = of.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return checkpointed(of.join(sizes, "crowd").select("node", "crowd", "blocks"))
+    return checkpointed(components(shared.join(keys, "key").select("node", "first")).select("node", F.col("root").alias("crowd")))
 
 
 def _cell(words: int, halves: int, similarity: float, distance: int):
-    """The links of different parts between two blocks of a crowd (or within one),
+    """The links of different parts between two blocks of a group (or within one),
     as many as connect what they connect."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        low, high = key[1].as_py(), key[2].as_py()
+        low, high = key[2].as_py(), key[3].as_py()
         group = group.take(np.argsort(group["node"].to_numpy(), kind="stable"))
         node, part, size, block = (group[c].to_numpy() for c in ("node", "part", "size", "block"))
         fp = np.stack([group[f"f{i}"].to_numpy().view(np.uint64) for i in range(halves)], axis=1)
-        names, at = np.unique(part, return_inverse=True)
-        forest = _Forest(len(names))
-        sets: dict[int, np.ndarray] = {}
-
-        def own(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = np.unique(_hashes({*shingles(group["text"][i].as_py().encode(), words)}))
-            return sets[i]
-
-        out = []
         one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        near = []
         for i in one.tolist():
             others = two[two > i] if low == high else two
-            ok = (at[others] != at[i]) & (np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]) - 1e-9)
+            ok = (part[others] != part[i]) & (np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]) - 1e-9)
             others = others[ok]
             others = others[_distance(fp[others], fp[i]) <= _bound(np.minimum(size[others], size[i]), distance)]
-            for j in others.tolist():
-                if forest.find(at[i]) == forest.find(at[j]):
-                    continue
-                x, y = own(i), own(j)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
-                    forest.link(at[i], at[j])
+            if len(others):
+                near.append((i, others))
+        asked = np.unique(np.concatenate([np.append(o, i) for i, o in near])) if near else []
+        sets = [np.unique(_hashes({*shingles(group["text"][i].as_py().encode(), words)})) for i in asked]
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
+        own = dict(zip(asked, np.split(flat, np.cumsum([len(x) for x in sets])[:-1])))
+        mine, out = np.zeros(len(known), np.int64), []
+        for i, others in near:
+            others = others[part[others] != part[i]]  # parts grow as links are found
+            if not len(others):
+                continue
+            x, ys = own[i], [own[j] for j in others]
+            n = np.array([len(y) for y in ys])
+            mine[x] = 1
+            both = np.add.reduceat(mine[np.concatenate(ys)], np.cumsum(n) - n)
+            mine[x] = 0
+            for j in others[both >= similarity * (len(x) + n - both) - 1e-9].tolist():
+                if part[j] != part[i]:
+                    part = np.where(part == part[j], part[i], part)
                     out.append((node[i], node[j]))
         ends = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": ends.max(axis=1, initial=np.iinfo(np.int64).min), "b": ends.min(axis=1, initial=np.iinfo(np.int64).max)})
@@ -612,10 +623,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits finds every pair at 0.8, all other pairs meet by the prefixes of their
     sets, which two such sets cannot but share. At first each text is verified
     only against the nearest pivot that it meets under a few of its hashes, which
-    contracts groups cheaply; the parts left do so once more under all their hashes. Then all pairs between the parts left are verified, so none is lost
-    to the choice of links: one by one, or, among texts under hashes that very
-    many have (a crowd), block against block, so that rows don't grow with the
-    square of a group. Pairs of more than `distance` differing bits of all
+    contracts groups cheaply; the parts left do so once more under all their hashes.
+    Then all pairs between the parts left are verified, so none is lost to the choice
+    of links: texts that may be similar to one another, at once or over others, are a
+    group, as are those under hashes that very many have (a crowd), and a group's
+    texts are compared block against block, so that rows don't grow with the square
+    of a group but with the number of its blocks. Pairs of more than `distance` differing bits of all
     fingerprints (ten fewer for sets of SMALL shingles or more) are not verified;
     a similarity of 0.8 is 29 of 192 bits on average (up to 37 for the smallest
     sets) with a deviation of about five, so one is lost in less than a case of a
@@ -639,13 +652,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = checkpointed(nodes.repartition(n, "node"), partitioned=True)
     shared = dealt.filter("size IS NULL").select(F.col("deal").alias("key"), "signature", F.col("f0").cast("short").alias("place")).join(nodes.select("signature", "node"), "signature").select("key", "node", "place")
     shared = checkpointed(shared.repartition(n, "node"), partitioned=True)
+    tidied(spark)
     many = crowds(shared)
     texts = rows.select("node", "text")
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(TEXTS)}):
-            return checkpointed(verified(pairs, texts, words, similarity))
+            out = checkpointed(verified(pairs, texts, words, similarity))
+        tidied(spark)
+        return out
 
     def placed(some: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Rows with what comparisons need, dealt by hash."""
@@ -669,13 +685,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for _ in range(ROUNDS):  # joins most parts of a group, whose members would else all meet one by one below
         good = good.unionByName(checked(toward(shared, roots, distance - 10)))
         roots = components(good)
-    good = good.unionByName(checked(placed(shared, roots).mapInArrow(lean(_apart(halves, similarity, distance)), "a long, b long")))
-    roots = components(good)
-    crowd = many.join(nodes.select("node", "size", *bits), "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    crowd = crowd.join(texts_of(many, texts).dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    inside = crowd.select("crowd", "low", "high", "block", "node", "part", "size", *bits, "text").groupBy("crowd", "low", "high").applyInArrow(_cell(words, halves, similarity, distance), "a long, b long")
-    roots = components(good.unionByName(checkpointed(inside)))
+    alike = components(placed(shared, roots).mapInArrow(lean(_apart(halves, similarity, distance)), "a long, b long"))
+    groups = many.select("node", F.lit(1).alias("kind"), F.col("crowd").alias("grp")).unionByName(alike.select("node", F.lit(0).alias("kind"), F.col("root").alias("grp")))
+    groups = checkpointed(groups.join(nodes.select("node", "size", *bits), "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
+    sizes = groups.groupBy("kind", "grp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    cells = groups.join(sizes, ["kind", "grp"]).join(texts_of(groups, texts).dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    inside = cells.select("kind", "grp", "low", "high", "block", "node", "part", "size", *bits, "text").groupBy("kind", "grp", "low", "high").applyInArrow(_cell(words, halves, similarity, distance), "a long, b long")
+    roots = components(good.unionByName(inside))
     linked = nodes.select("signature", "node", "least").join(roots, "node")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("signature", "component_id")
     of = nodes.select("signature", "least").join(named, "signature", "left").select("signature", F.coalesce("component_id", "least").alias("component_id"))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,23 @@ def test_similar_groups_equal_brute_force(spark, monkeypatch, crowd, block):
     assert simhash.similar_groups(rows.limit(0)).count() == 0
 
 
+def test_pairs_told_grow_with_a_group_not_its_square():
+    n = 200
+    fp = pa.array(np.zeros(n, np.int64))
+    node = pa.array(np.arange(n))
+    rows = {"key": np.ones(n, np.int64), "node": node, "place": np.zeros(n, np.int16), "size": np.full(n, 100), "f0": fp, "f1": fp, "f2": fp, "part": node, "crowd": np.zeros(n, np.int64)}
+    told = [p for b in simhash._apart(3, 0.8, 64)(iter(pa.table(rows).to_batches())) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())]
+    assert len(told) == n - 1 and {x for p in told for x in p} == {*range(n)}
+
+
+@pytest.mark.parametrize("direct", [0, 20, 1 << 16])
+def test_components_on_the_driver_equal_those_by_joins(spark, monkeypatch, direct):
+    monkeypatch.setattr(components, "DIRECT", direct)
+    links = [(i, i + 1) for i in range(40, 9, -1)] + [(50, 7), (7, 60), (60, 50), (3, 3), (None, 1)]
+    got = {(r["node"], r["root"]) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {(i, 10) for i in range(10, 42)} | {(7, 7), (50, 7), (60, 7)}
+
+
 def test_similar_pairs_are_found_near_the_threshold(spark, monkeypatch):
     plan = simhash.plan_search  # a search by bits, if any, is planned as for a large table
     monkeypatch.setattr(simhash, "plan_search", lambda sample, n, distance: plan(sample, 12_000_000, distance))
