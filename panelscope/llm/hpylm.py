@@ -11,9 +11,10 @@ distinct pair of neighbouring words; pairs are dealt by context to buckets of
 bounded size, whatever the corpus. A bucket starts with one table for each pair
 of words, which is a customer of the parent, and tells the parent's buckets,
 dealt by word. These seat their customers and answer with what gives the word's
-probability; then the context buckets sample their own seatings under it and
-answer each block with log probabilities, which the block adds up by text. So
-levels alternate once. Contexts that a sample shows to be frequent are spread
+probability; under it the context buckets sample their own seatings and tell the
+tables that came out, which are the parent's customers from then on. It seats
+these anew, and the context buckets sample under that and answer each block with
+log probabilities, which the block adds up by text. So levels alternate twice. Contexts that a sample shows to be frequent are spread
 over all buckets by word; a part takes its share of the context's tables for
 constant while it samples.
 """
@@ -254,8 +255,8 @@ def _place(h: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def _told(shared, n_homes: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        """To the words' buckets: a word's customers (its contexts) and count here; of a
-        spread context its tables and count here."""
+        """To the words' buckets, before anything is sampled: a word's customers (a table for
+        each of its contexts) and count here; of a spread context its tables and count here."""
         u, w, c, _, _ = _bucket(shared.value, group)
         names, homes = _by_home(w, n_homes)
         at = _place(w, names)
@@ -299,16 +300,30 @@ def seat(c: np.ndarray, t: np.ndarray, others: np.ndarray, parent: np.ndarray, d
 
 
 def _parent(homes: int):
+    """Under the tables that buckets start with."""
+
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        """Seats the parent's customers under a bucket's words and answers each context
-        bucket: customers less discounted tables, averaged, and counts; of spread
-        contexts all tables and counts. One more row has the bucket's totals."""
+        return seated(key, group, None)
+
+    seated = _reseated(homes)
+    return run
+
+
+def _reseated(homes: int):
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table, sampled: pa.Table | None) -> pa.Table:
+        """Seats the parent's customers under a bucket's words, those of `sampled` too, and
+        answers each context bucket: customers less discounted tables, averaged, and counts;
+        of spread contexts all tables and counts. One more row has the bucket's totals."""
         order = np.lexsort((group["bucket"].to_numpy(), group["kind"].to_numpy()))
         group = group.take(order)
         kind, many = group["kind"].to_numpy(), group["n"].to_pylist()
         names = [_longs(x) for x in group["names"]]
         tables = [_unpacked(x.as_buffer(), n) for x, n in zip(group["tables"], many)]
         counts = [_unpacked(x.as_buffer(), n) for x, n in zip(group["counts"], many)]
+        if sampled is not None:
+            at = {b: i for i, (b, k) in enumerate(zip(group["bucket"].to_pylist(), kind.tolist())) if k == 0}
+            for b, x in zip(sampled["bucket"].to_pylist(), sampled["more"]):
+                tables[at[b]] = tables[at[b]] + _unpacked(x.as_buffer(), many[at[b]])
         rng = np.random.default_rng(SEED + key[0].as_py())
         first, second, totals = [b""] * len(many), [b""] * len(many), (0.0, 0.0, 0, 0)
         for which in (0, 1):
@@ -345,10 +360,10 @@ def _parent(homes: int):
 PARENT = "bucket int, home int, kind int, n long, mass binary, counts binary, customers double, tables double, tokens long, types long"
 
 
-def predictive(u: np.ndarray, c: np.ndarray, parent: np.ndarray, spread: dict[int, tuple[float, float]], rng) -> np.ndarray:
-    """Averaged probabilities of pairs ordered by context `u`, seen `c` times, under the
-    parent's probabilities. `spread` has all tables and the count of contexts that
-    other buckets hold parts of."""
+def seatings(u: np.ndarray, c: np.ndarray, parent: np.ndarray, spread: dict[int, tuple[float, float]], rng) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sweep by sweep the tables of pairs ordered by context `u`, seen `c` times, under the
+    parent's probabilities, with all tables and customers of each pair's context. `spread`
+    has all starting tables and the count of contexts that other buckets hold parts of."""
     rest = np.cumsum(_runs(u)) - 1
     size = np.bincount(rest, weights=c)
     heads = u[_runs(u)]
@@ -359,37 +374,66 @@ def predictive(u: np.ndarray, c: np.ndarray, parent: np.ndarray, spread: dict[in
         for i in np.flatnonzero(np.isin(heads, np.array(list(spread), np.uint64))).tolist():
             tables, size[i] = spread[int(heads[i])]
             elsewhere[i] = tables / max(own[i], 1)
-    out = np.zeros(len(u))
     trained = np.flatnonzero(c > 0)
-    for sweep in range(BURN_IN + SAMPLES):
-        total = np.bincount(rest, weights=t) * elsewhere
+    total = np.bincount(rest, weights=t) * elsewhere
+    while True:
         t[trained] = seat(c[trained], t[trained], (total[rest] - t)[trained], parent[trained], DISCOUNT, STRENGTH, rng)
+        total = np.bincount(rest, weights=t) * elsewhere
+        yield t, total[rest], size[rest]
+
+
+def predictive(u: np.ndarray, c: np.ndarray, parent: np.ndarray, spread: dict[int, tuple[float, float]], rng) -> np.ndarray:
+    """Probabilities of pairs, averaged over seatings()."""
+    out = np.zeros(len(u))
+    for sweep, (t, total, size) in zip(range(BURN_IN + SAMPLES), seatings(u, c, parent, spread, rng)):
         if sweep >= BURN_IN:
-            total = np.bincount(rest, weights=t) * elsewhere
-            out += (np.maximum(c - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * total[rest]) * parent) / (STRENGTH + size[rest]) / SAMPLES
+            out += (np.maximum(c - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * total) * parent) / (STRENGTH + size) / SAMPLES
     return out
 
 
+def _under(words: Words, n_homes: int, u: np.ndarray, w: np.ndarray, replies: pa.Table) -> tuple:
+    """What the parent answered: words' hashes by home and each home's bounds, each pair's
+    word among them, words' counts, pairs' probabilities, and spread contexts."""
+    names, homes = _by_home(w, n_homes)
+    mass, count, spread = np.zeros(len(names)), np.zeros(len(names), np.int64), {}
+    bounds = {i: (s, e) for i, s, e in homes}
+    heads, parts = _by_home(u[words.is_spread(u)], n_homes)
+    head_bounds = {i: (s, e) for i, s, e in parts}
+    for home, kind, n, x, y in zip(*(replies[c].to_pylist() for c in ("home", "kind", "n")), replies["mass"], replies["counts"]):
+        s, e = (bounds if kind == 0 else head_bounds)[home]
+        if kind == 0:
+            mass[s:e] = np.frombuffer(x.as_buffer(), np.float32)
+            count[s:e] = _unpacked(y.as_buffer(), n)
+        else:
+            spread |= zip(heads[s:e].tolist(), zip(_unpacked(x.as_buffer(), n).tolist(), _unpacked(y.as_buffer(), n).tolist()))
+    customers, tables, types = (replies[f"all_{c}"][0].as_py() for c in ("customers", "tables", "types"))
+    parent = (mass + (TOP_STRENGTH + TOP_DISCOUNT * tables) / (types + 1)) / (TOP_STRENGTH + customers)
+    at = _place(w, names)
+    return names, homes, at, count, parent[at], spread
+
+
+def _sampled(shared, n_homes: int):
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table, replies: pa.Table) -> pa.Table:
+        """To the words' buckets: tables that a word has here beyond those told before,
+        after BURN_IN sweeps under the parent."""
+        u, w, c, _, _ = _bucket(shared.value, group)
+        names, homes, at, _, parent, spread = _under(shared.value, n_homes, u, w, replies)
+        rng = np.random.default_rng([SEED, key[0].as_py()])
+        for _, (t, _, _) in zip(range(BURN_IN), seatings(u, c, parent, spread, rng)):
+            pass
+        more = np.rint(np.bincount(at, weights=t - (c > 0), minlength=len(names)))
+        return pa.table({"home": pa.array([i for i, _, _ in homes], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(homes), pa.int32()), "more": pa.array([_packed(more[s:e]) for _, s, e in homes], pa.binary())})
+
+    return run
+
+
 def _answered(shared, n_homes: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table, replies: pa.Table) -> pa.Table:
         """To the blocks: log10 probabilities of their pairs and counts of the pairs' words."""
         u, w, c, pair, many = _bucket(shared.value, group)
-        names, homes = _by_home(w, n_homes)
-        mass, count, spread = np.zeros(len(names)), np.zeros(len(names), np.int64), {}
-        bounds = {i: (s, e) for i, s, e in homes}
-        heads, parts = _by_home(u[shared.value.is_spread(u)], n_homes)
-        head_bounds = {i: (s, e) for i, s, e in parts}
-        for home, kind, n, x, y in zip(*(replies[c].to_pylist() for c in ("home", "kind", "n")), replies["mass"], replies["counts"]):
-            s, e = (bounds if kind == 0 else head_bounds)[home]
-            if kind == 0:
-                mass[s:e] = np.frombuffer(x.as_buffer(), np.float32)
-                count[s:e] = _unpacked(y.as_buffer(), n)
-            else:
-                spread |= zip(heads[s:e].tolist(), zip(_unpacked(x.as_buffer(), n).tolist(), _unpacked(y.as_buffer(), n).tolist()))
-        customers, tables, tokens_, types = (replies[f"all_{c}"][0].as_py() for c in ("customers", "tables", "tokens", "types"))
-        parent = (mass + (TOP_STRENGTH + TOP_DISCOUNT * tables) / (types + 1)) / (TOP_STRENGTH + customers)
-        at = _place(w, names)
-        logs = np.log10(predictive(u, c, parent[at], spread, np.random.default_rng(SEED + key[0].as_py()))).astype(np.float32)
+        _, _, at, count, parent, spread = _under(shared.value, n_homes, u, w, replies)
+        tokens_, types = (replies[f"all_{c}"][0].as_py() for c in ("tokens", "types"))
+        logs = np.log10(predictive(u, c, parent, spread, np.random.default_rng(SEED + key[0].as_py()))).astype(np.float32)
         count = count[at]
         ends = np.cumsum(many)
         return pa.table(
@@ -453,10 +497,15 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(frequent_words(rows))
     asked = rows.mapInArrow(_asked(shared, buckets), "bucket int, block long, n long, contexts binary, runs binary, codes binary, rest binary, counts binary").repartition(partitions(spark), "bucket")
     told = asked.groupBy("bucket").applyInArrow(_told(shared, homes), TOLD)
-    parent = told.groupBy("home").applyInArrow(_parent(homes), PARENT)
-    sums = [F.sum(c).alias(f"all_{c}") for c in ("customers", "tables", "tokens", "types")]
-    replies = parent.filter("bucket IS NOT NULL").select("bucket", "home", "kind", "n", "mass", "counts").crossJoin(F.broadcast(parent.agg(*sums)))
-    answers = asked.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_answered(shared, homes), "block long, bucket int, n long, logs binary, counts binary, tokens long, types long")
+
+    def replies(parent: DataFrame) -> DataFrame:
+        sums = [F.sum(c).alias(f"all_{c}") for c in ("customers", "tables", "tokens", "types")]
+        return parent.filter("bucket IS NOT NULL").select("bucket", "home", "kind", "n", "mass", "counts").crossJoin(F.broadcast(parent.agg(*sums)))
+
+    first = replies(told.groupBy("home").applyInArrow(_parent(homes), PARENT))
+    sampled = asked.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(_sampled(shared, homes), "home int, bucket int, more binary")
+    parent = told.groupBy("home").cogroup(sampled.groupBy("home")).applyInArrow(_reseated(homes), PARENT)
+    answers = asked.groupBy("bucket").cogroup(replies(parent).groupBy("bucket")).applyInArrow(_answered(shared, homes), "block long, bucket int, n long, logs binary, counts binary, tokens long, types long")
     streams = rows.mapInArrow(_streams(shared, buckets), "block long, ids array<long>, flags array<boolean>, sizes array<long>, pairs long, places binary")
     return streams.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_added, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

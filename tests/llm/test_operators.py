@@ -2,6 +2,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -300,6 +301,30 @@ def test_seating_follows_the_restaurant_law(count):
         assert (got == t).mean() == pytest.approx(p, abs=0.01)
 
 
+def test_sampled_tables_are_the_parents_customers():
+    """A pair seen often opens further tables, which the parent seats, and gains in it."""
+    words, key = hpylm.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0), (pa.scalar(0),)
+    shared = SimpleNamespace(value=words)
+    w = np.array([7, 9], np.uint64)
+    codes, rest = words.encode(w)
+    asked = pa.table({"n": [2], "contexts": [np.array([5], np.uint64).tobytes()], "runs": [hpylm._packed(np.array([2]))], "codes": [codes], "rest": [rest], "counts": [hpylm._packed(np.array([5000, 1]))], "bucket": [0], "block": [0]})
+    told = hpylm._told(shared, 1)(key, asked)
+
+    def replies(parent):
+        for c in ("customers", "tables", "tokens", "types"):
+            parent = parent.append_column(f"all_{c}", pa.array([parent[c][-1].as_py()] * len(parent)))
+        return parent.slice(0, len(parent) - 1)
+
+    first = hpylm._parent(1)(key, told)
+    sampled = hpylm._sampled(shared, 1)(key, asked, replies(first))
+    more = hpylm._unpacked(sampled["more"][0].as_buffer(), 2)
+    assert more[0] > 10 and more[1] == 0
+    second = hpylm._reseated(1)(key, told, sampled)
+    before, after = (np.frombuffer(p["mass"][0].as_buffer(), np.float32) for p in (first, second))
+    assert before[0] < 1 and after[0] > 5 and after[1] < 1
+    assert second["tokens"][-1].as_py() == 5001 and second["types"][-1].as_py() == 2
+
+
 @pytest.mark.parametrize(("block", "spread"), [(1 << 20, 1000), (40, 2)])
 def test_language_model_scores_every_row(spark, monkeypatch, block, spread):
     monkeypatch.setattr(hpylm, "BLOCK_TOKENS", block)
